@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, quality, secrets_scan
+from docquarry.llm import chat, packing, quality, secrets_scan, token_files
 from docquarry.llm.common import read_table
 
 
@@ -53,8 +53,22 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op6_secrets": op6_secrets, "op7_chat": op7_chat}
+    return {"op3_quality": op3_quality, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op9_token_files": op9_token_files, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
