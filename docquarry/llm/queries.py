@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, packing, quality, secrets_scan, token_files
+from docquarry.llm import chat, packing, quality, secrets_scan, sp_bpe, token_files
 from docquarry.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_bpe.report(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -68,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op9_token_files": op9_token_files, "op10_packing": op10_packing}
+    return {"op3_quality": op3_quality, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op8_sentencepiece": op8_sentencepiece, "op9_token_files": op9_token_files, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
