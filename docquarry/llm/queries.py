@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, packing, quality, secrets_scan, sp_bpe, token_files
+from docquarry.llm import chat, licenses, packing, quality, secrets_scan, sp_bpe, token_counts, token_files
 from docquarry.llm.common import read_table
 
 
@@ -59,6 +59,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.report(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -72,7 +80,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op6_secrets": op6_secrets, "op7_chat": op7_chat, "op8_sentencepiece": op8_sentencepiece, "op9_token_files": op9_token_files, "op10_packing": op10_packing}
+    return {
+        "op3_quality": op3_quality,
+        "op4_token_counts": op4_token_counts,
+        "op5_licenses": op5_licenses,
+        "op6_secrets": op6_secrets,
+        "op7_chat": op7_chat,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_token_files": op9_token_files,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
