@@ -74,8 +74,7 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None =
             F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    return step2.select(
-        *[F.col(c) for c in docs.columns],
+    found = F.struct(
         F.size(w).cast("long").alias("_q_n_words"),
         F.char_length(F.regexp_replace(t, SPACE + "+", "")).cast("long").alias("_q_word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("_q_n_symbols"),
@@ -86,6 +85,9 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None =
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("_q_upper"),
         F.regexp_count(t, F.lit(r"\p{Lu}|\p{Ll}")).cast("long").alias("_q_letters"),
     )
+    # a generator of one row: without it the optimizer would push a filter on `kept` below, writing every measure out again
+    # for every place in the condition that names it
+    return step2.select(*[F.col(c) for c in docs.columns], F.inline(F.array(found)))
 
 
 def compile_rules(rules=RULES) -> Column:
