@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docquarry.llm import chat, licenses, ngram_join, packing, quality, secrets_scan, sp_bpe, token_counts, token_files
+from docquarry.llm import ann, chat, licenses, ngram_join, packing, quality, secrets_scan, sp_bpe, token_counts, token_files
 from docquarry.llm.common import read_table
 
 
@@ -14,6 +15,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,6 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_nearest": op2_nearest,
         "op3_quality": op3_quality,
         "op4_token_counts": op4_token_counts,
         "op5_licenses": op5_licenses,
