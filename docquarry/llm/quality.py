@@ -60,12 +60,11 @@ def _repeat_words(words: Column, windows: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
-    """``docs`` with the columns of measures behind it (names start with ``_q_``)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """The input's rows as a struct ``_row`` (so no name of theirs can clash) with the measures, ``_q_...``, behind it."""
     stop = sorted({v for w in (stop_words or STOP_WORDS) for v in (w, w.capitalize())})
-    step1 = docs.withColumn("_q_words", words_of(F.col(text))).withColumn(
-        "_q_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    )
+    t = F.col("_q_text")
+    whole = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_q_text"))
+    step1 = whole.withColumn("_q_words", words_of(t)).withColumn("_q_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     w = F.col("_q_words")
     step2 = step1.withColumn(
         "_q_windows",
@@ -87,7 +86,7 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None =
     )
     # a generator of one row: without it the optimizer would push a filter on `kept` below, writing every measure out again
     # for every place in the condition that names it
-    return step2.select(*[F.col(c) for c in docs.columns], F.inline(F.array(found)))
+    return step2.select("_row", F.inline(F.array(found)))
 
 
 def compile_rules(rules=RULES) -> Column:
@@ -121,4 +120,4 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES, stop_words:
     failed = (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_q_n_words"))
     new = {k: F.col(f"_q_{k}") for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     new |= {"base_failed": failed, "kept": ~failed & compile_rules(rules)}
-    return m.select(*[F.col(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    return m.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

@@ -31,7 +31,10 @@ _STEMS = (
     "writer buffer stream file path folder image button label window panel event action state status error message result "
     "order item price account customer product invoice payment address country language version number date time zone "
     "document section chapter paragraph sentence token word letter string integer double float boolean object array node "
-    "tree graph edge vertex matrix vector query filter sort group join merge split batch worker thread process queue stack"
+    "tree graph edge vertex matrix vector query filter sort group join merge split batch worker thread process queue stack "
+    "gesellschaft verwaltung schaltung fahrt dampf schiff rechnung entwicklung einheit nachricht kunde strasse "
+    "développement fonction utilisateur chaîne fichier quelque toujours ordinateur désarrollo información usuario archivo palabra ciudad "
+    "knowledge graphics wrapper justify physics rhythm yellow awkward vocabulary jukebox oxygen zebra quick"
 ).split()
 
 
@@ -129,11 +132,18 @@ def scan(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: floa
     spans; a text of any length is scanned whole; repeated rows are scanned one by one; other columns pass through. A
     column named ``out`` in the input is replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    found = _scanned(docs, model, text, threshold)
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c != out], F.col("_spans").alias(out))
+
+
+def _scanned(docs: DataFrame, model: np.ndarray, text: str, threshold: float) -> DataFrame:
+    """``_row`` (the input's row as a struct, so no name of its can clash), ``_text`` (null as empty) and ``_spans``."""
+    t, b = F.col("_text"), F.col("_base")
     value = lambda m: F.char_length(F.regexp_extract(m["text"], ASSIGN, 2))
     kind = lambda spans, k: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("kind")))
-    base = docs.withColumn(
-        "_s_base",
+    whole = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    base = whole.withColumn(
+        "_base",
         F.array_sort(
             F.concat(
                 kind(F.filter(_find(t, ASSIGN), lambda m: value(m) >= 6), 0),
@@ -142,7 +152,6 @@ def scan(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: floa
             )
         ),
     )
-    b = F.col("_s_base")
     # struct order is start, end, kind; the result's is start, kind
     ordered = lambda a: F.array_sort(a, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["kind"] - y["kind"]))
     judged = F.filter(
@@ -151,7 +160,7 @@ def scan(docs: DataFrame, model: np.ndarray, text: str = "text", threshold: floa
         & ~F.exists(b, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
         & (_llr(m["text"], model) > threshold),
     )
-    return base.select(*[F.col(c) for c in docs.columns if c != out], ordered(F.concat(b, kind(judged, 3))).alias(out))
+    return base.select("_row", "_text", ordered(F.concat(b, kind(judged, 3))).alias("_spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -162,11 +171,11 @@ def joined(spans: Column) -> Column:
 
 def report(docs: DataFrame, model: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, counts of the fixed kinds, digest of the fixed spans, all spans as text."""
-    s = scan(docs.select(key, text), model, text, out="_s_spans")
-    spans = F.col("_s_spans")
+    s = _scanned(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), model, "text", THRESHOLD)
+    spans = F.col("_spans")
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     return s.select(
-        key,
+        F.col("_row.doc_id").alias("doc_id"),
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
@@ -180,16 +189,16 @@ def redact(docs: DataFrame, model: np.ndarray, text: str = "text", mask: str = "
 
     Rows without a span come out unchanged (a null text stays null); no row is dropped.
     """
-    s = scan(docs, model, text, out="_s_spans")
+    s = _scanned(docs, model, text, THRESHOLD)
     merged = F.aggregate(
-        F.col("_s_spans"),
+        F.col("_spans"),
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > x["start"]), F.concat(
             F.slice(a, 1, F.size(a) - 1),
             F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], x["end"]).alias("end"))),
         )).otherwise(F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
     )
-    t = F.col(text)
+    t = F.col("_text")
 
     def rebuilt(m: Column) -> Column:
         pieces = F.transform(
@@ -197,5 +206,5 @@ def redact(docs: DataFrame, model: np.ndarray, text: str = "text", mask: str = "
         )
         return F.concat(F.array_join(pieces, ""), F.substr(t, F.try_element_at(m, F.lit(-1))["end"] + 1))
 
-    new = F.when(F.size("_s_spans") == 0, t).otherwise(F.transform(F.array(merged), rebuilt)[0])
-    return s.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    new = F.when(F.size("_spans") == 0, F.col("_row").getField(text)).otherwise(F.transform(F.array(merged), rebuilt)[0])
+    return s.select(*[(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
