@@ -1,4 +1,4 @@
-"""Command line: ``index`` files or a topic into an index, ``search`` and ``suggest`` by JSON requests."""
+"""Command line: ``index`` files or a topic into an index, ``search`` and ``suggest`` by JSON requests, administration."""
 
 from __future__ import annotations
 
@@ -32,6 +32,18 @@ def parser() -> argparse.ArgumentParser:
         q = sub.add_parser(mode)
         q.add_argument("--index", required=True)
         q.add_argument("--request", default="{}", help="JSON")
+    delete = sub.add_parser("delete")
+    delete.add_argument("--index", required=True)
+    delete.add_argument("--ids", nargs="*")
+    delete.add_argument("--filters", help="JSON; without ids and filters everything is deleted")
+    merge = sub.add_parser("merge")
+    merge.add_argument("--index", required=True)
+    merge.add_argument("--files", type=int)
+    copy = sub.add_parser("replicate")
+    copy.add_argument("--index", required=True)
+    copy.add_argument("--to", required=True)
+    for mode in ("stats", "mapping"):
+        sub.add_parser(mode).add_argument("--index", required=True)
     sub.add_parser("list")
     return p
 
@@ -51,6 +63,18 @@ def main(args: list[str] | None = None) -> int:
 
         lines = kafka_lines(spark, a.topic, a.brokers.split(","), a.offset, json.loads(a.options))
         ingest(lines, engine.index(a.index), a.checkpoint).awaitTermination()
+    elif a.mode == "delete":
+        i = engine.index(a.index)
+        i.delete(a.ids, json.loads(a.filters) if a.filters else None)
+        print(i.flush())
+    elif a.mode == "merge":
+        engine.index(a.index).merge(a.files)
+    elif a.mode == "replicate":
+        print(json.dumps(engine.index(a.index).replicate(a.to)))
+    elif a.mode == "stats":
+        print(json.dumps(engine.index(a.index).stats()))
+    elif a.mode == "mapping":
+        print(engine.index(a.index).mapping.to_json())
     else:
         print(json.dumps(getattr(engine.index(a.index), a.mode)(json.loads(a.request)), default=str))
     return 0
