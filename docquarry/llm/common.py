@@ -9,6 +9,7 @@ Text conventions (used by every operator that says "words"):
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -54,18 +55,28 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't inherit the driver's search path."""
+    """Make this package importable in Python workers that don't inherit the driver's search path.
+
+    Where they don't, an archive of the package goes to the shared folder and is added to the session once.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_docquarry_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="docquarry-ship-"), "docquarry_ship.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    from pyarrow import fs
+
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
         for folder, _, files in os.walk(os.path.join(root, "docquarry")):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(path)
+    uri = f"{shared_dir(spark)}/docquarry_package.zip"
+    filesystem, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+    with filesystem.open_output_stream(path) as out:
+        out.write(archive.getvalue())
+    spark.sparkContext.addPyFile(uri)
     spark.sparkContext._docquarry_shipped = True
 
 
