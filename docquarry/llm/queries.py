@@ -88,6 +88,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY sh) END AS class_id FROM s),
+e AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT u.b, c.m FROM c JOIN u ON u.a = c.doc_id),
+m AS (SELECT doc_id, min(m) AS component_id FROM c GROUP BY 1),
+d AS (SELECT a AS doc_id, count(*) AS others FROM u GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, CAST(coalesce(d.others, 0) AS BIGINT) AS n_similar, m.component_id, n.class_id
+FROM n JOIN m ON m.doc_id = n.doc_id LEFT JOIN d ON d.doc_id = n.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -104,4 +121,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_quality": OP3_SQL}

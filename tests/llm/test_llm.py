@@ -393,10 +393,11 @@ def test_pipeline_like_brute_force(spark, tmp_path, model):
     assert left and check_packing(out, {i: [*enc(t).ids, 0] for i, t in left.items()}, 2048)
 
 
-def test_oracle_of_quality(spark):
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    want = sorted(con.sql(q.oracle_sql()["op3_quality"]).fetchall())
-    assert sorted(tuple(r) for r in q.op3_quality(spark, SF).collect()) == want
+    want = sorted(con.sql(q.oracle_sql()[name]).fetchall())
+    assert sorted(tuple(r) for r in q.queries()[name](spark, SF).collect()) == want
