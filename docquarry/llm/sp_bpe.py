@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import ship
 
 MARK = "▁"
-_CLOSING = frozenset(".,;:!?")
-CACHE_CHUNKS, CACHE_CHUNK_CHARS = 500_000, 64
+_CLOSING, _ONE = frozenset(".,;:!?"), [1]
+CACHE_CHUNKS, CACHE_CHUNK_CHARS = 600_000, 64
 
 
 class Model:
@@ -59,8 +59,10 @@ class Model:
             self.automaton.add_word(p)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.decimal = {p: str(i) for p, i in self.ids.items()}
+        # entries of chunks, and those of the generation before: what is met again moves on, the rest goes
         self.chunks: dict[str, tuple[str, int, str, str]] = {}
+        self.older: dict[str, tuple[str, int, str, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merging as the library does it: the best-scored adjacent pair first, the leftmost of equals."""
@@ -86,61 +88,59 @@ class Model:
             offer(i)
         return [p for p in part if p]
 
-    def _stable(self, piece: str) -> bool:
-        """Whether merging a piece's own signs gives the piece."""
-        if (ok := self.alone.get(piece)) is None:
-            ok = self.alone[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return ok
-
-    def _compatible(self, a: str, b: str) -> bool:
-        if (ok := self.pairs.get((a, b))) is None:
-            ok = a + b not in self.ids and self.merge(a + b) == [a, b]
-            if len(self.pairs) > CACHE_CHUNKS:
-                self.pairs.clear()
-            self.pairs[a, b] = ok
+    def _fits(self, a: str, b: str) -> bool:
+        """Whether ``b`` may follow ``a`` (``""``: nothing): re-merging the signs of both gives just these two."""
+        ok = self.merge(b) == [b] if not a else a + b not in self.ids and self.merge(a + b) == [a, b]
+        if len(self.pairs) > CACHE_CHUNKS:
+            self.pairs.clear()
+        self.pairs[a, b] = ok
         return ok
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a chunk; signs outside the vocabulary are pieces of one sign."""
-        n = len(text)
-        match: list[list[int]] = [[] for _ in range(n)]
+        n, pairs = len(text), self.pairs
+        # for each position the lengths of the pieces that start there, shortest first, as the automaton meets them
+        match: list[list[int] | None] = [None] * n
         for end, length in self.automaton.iter(text):
-            match[end - length + 1].append(length)
-        failed = bytearray(n // 8 + 1)
+            start = end - length + 1
+            if (m := match[start]) is None:
+                match[start] = [1] if length == 1 else [1, length]
+            else:
+                m.append(length)
+        failed: bytearray | None = None
         out: list[str] = []
-        stack: list[tuple[int, int]] = []  # (position, next choice)
-        at, choice = 0, 0
+        left: list[int] = []  # for each piece of `out`, how many shorter choices its position has
+        at, last, choice = 0, "", -1
         while at < n:
-            lengths = match[at]
-            if choice == 0 and len(lengths) > 1:
-                lengths.sort(reverse=True)
-            if not lengths or lengths[-1] != 1:
-                lengths.append(1)
-            last = out[-1] if out else None
-            while choice < len(lengths):
-                length = lengths[choice]
-                to = at + length
-                choice += 1
-                if to < n and failed[to >> 3] >> (to & 7) & 1:
+            lengths = match[at] or _ONE
+            choice = len(lengths) if choice < 0 else choice
+            while choice:
+                choice -= 1
+                to = at + lengths[choice]
+                if failed is not None and to < n and failed[to >> 3] >> (to & 7) & 1:
                     continue
                 piece = text[at:to]
-                if self._stable(piece) and (last is None or self._compatible(last, piece)):
+                if (ok := pairs.get((last, piece))) is None:
+                    ok = self._fits(last, piece)
+                if ok:
+                    left.append(choice)
+                    out.append(piece)
+                    at, last, choice = to, piece, -1
                     break
             else:
                 # compatible pieces up to a position are the only encoding of the text before it, so a dead end is the
                 # position's own, whatever the way to it
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                at, choice = stack.pop()
-                out.pop()
-                continue
-            stack.append((at, choice))
-            out.append(piece)
-            at, choice = to, 0
+                at -= len(out.pop())
+                choice = left.pop()
+                last = out[-1] if out else ""
         return out
 
-    def chunk_ids(self, chunk: str) -> list[int]:
+    def _ids(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
-        for p in self.backtrack(chunk):
+        for p in pieces:
             i = self.ids.get(p)
             if i is None:
                 ids.extend(self.bytes[b] for b in p.encode())
@@ -153,23 +153,30 @@ class Model:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        return [i for c in self._CUT.findall(MARK + text.replace(" ", MARK)) for i in self.chunk_ids(c)]
+        return [i for c in self._CUT.findall(MARK + text.replace(" ", MARK)) for i in self._ids(self.backtrack(c))]
 
     def _chunk(self, chunk: str) -> tuple[str, int, str, str]:
-        """A chunk's entry in the table. Where a closing sign follows, the rest's entry serves if the border is compatible."""
-        x = self.chunks.get(chunk)
+        """A chunk's entry: ids as text, how many, what they decode to, the last piece ("" if it has none of its own).
+
+        Where a closing sign follows, the rest's entry serves if the border is compatible.
+        """
+        x = self.chunks.get(chunk) or self.older.get(chunk)
         if x is None:
             sign, rest = chunk[-1], chunk[:-1]
             if sign in _CLOSING and len(rest) > 1 and sign in self.ids:
                 ids, n, text, last = self._chunk(rest)
-                if last and self._compatible(last, sign):
-                    x = (f"{ids},{self.ids[sign]}", n + 1, text + sign, sign)
+                if last and (self.pairs.get((last, sign)) or self._fits(last, sign)):
+                    x = (f"{ids},{self.decimal[sign]}", n + 1, text + sign, sign)
             if x is None:
-                found = self.chunk_ids(chunk)
-                last = self.surface[found[-1]] if found[-1] not in self.byte_of else ""
-                x = (",".join(map(str, found)), len(found), self.decode(found, False), last)
-            if len(chunk) <= CACHE_CHUNK_CHARS:
-                self.chunks[chunk] = x
+                pieces = self.backtrack(chunk)
+                try:
+                    # pieces of the vocabulary decode to themselves, marks to spaces
+                    x = (",".join([self.decimal[p] for p in pieces]), len(pieces), "".join(pieces).replace(MARK, " "), pieces[-1])
+                except KeyError:
+                    found = self._ids(pieces)
+                    x = (",".join(map(str, found)), len(found), self.decode(found, False), "" if found[-1] in self.byte_of else self.surface[found[-1]])
+        if len(chunk) <= CACHE_CHUNK_CHARS:
+            self.chunks[chunk] = x
         return x
 
     def encode_text(self, text: str) -> tuple[str, int, str]:
@@ -182,8 +189,9 @@ class Model:
             got = [known[c] for c in chunks]
         except KeyError:
             if len(known) > CACHE_CHUNKS:
-                known.clear()
-            got = [self._chunk(c) for c in chunks]
+                self.older, self.chunks = known, {}
+            known = self.chunks
+            got = [known.get(c) or self._chunk(c) for c in chunks]
         # a chunk begins with a whole sign and ends with one, so chunks decode one by one; the dummy prefix is the first mark
         return ",".join([x[0] for x in got]), sum([x[1] for x in got]), "".join([x[2] for x in got])[1:]
 
