@@ -51,22 +51,60 @@ class ByteEncoder:
 
 
 class WordEncoder:
-    """Ids as little-endian 32-bit arrays, one word at a time, from a bounded table."""
+    """Ids as little-endian 32-bit arrays, one word at a time, from a bounded table.
+
+    Words of unaccented and Latin-1 letters, with or without a closing sign, go through a rank table in which the byte 0xFF,
+    which no text holds, stands for the end of a word; all others, and texts with odd control signs, go to the library.
+    """
 
     #: The library's white space doesn't hold these, Python's does; texts with them go to the library whole.
     _ODD = re.compile("[\x1c-\x1f]")
+    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+    _END, _SUFFIX = b"\xff", "</w>"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"][a + b] for a, b in merges]
+        if model["end_of_word_suffix"] != self._SUFFIX or order != sorted(order) or order[0] < 512:
+            raise ValueError(f"{path}: ids don't follow the order of merges, or words have no end mark")
+        alphabet = byte_alphabet()
+        ends = lambda k: k.endswith(self._SUFFIX)
+        spell = lambda k: bytes(alphabet[c] for c in (k[: -len(self._SUFFIX)] if ends(k) else k)) + self._END * ends(k)
+        ranks = {spell(k): v for k, v in model["vocab"].items() if v < 512}
+        ranks |= {spell(a + b): model["vocab"][a + b] for a, b in merges}
+        self._piece = tiktoken.Encoding("docquarry-words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, letters: str) -> bytes:
+        if (x := self.known.get(letters)) is None:
+            x = array("I", self._piece(letters.encode() + self._END)).tobytes()
+            if len(letters) <= CACHE_WORD_CHARS:
+                self.known[letters] = x
+        return x
+
+    def _word(self, word: str) -> bytes:
+        if (x := self.known.get(word)) is None:
+            m = self._PLAIN.fullmatch(word)
+            if m is None:
+                x = self._library([word])[0]
+            else:
+                # splitting never joins a letter to a closing sign, so the two are encoded apart
+                x = self._plain(m[1].lower()) + (self._plain(m[2]) if m[2] else b"")
+            if len(word) <= CACHE_WORD_CHARS:
+                self.known[word] = x
+        return x
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, joined as little-endian unsigned 32-bit integers."""
         out = []
@@ -74,17 +112,13 @@ class WordEncoder:
             if self._ODD.search(t):
                 out.append(self._library([t])[0])
                 continue
-            words = t.split()
-            known = self.known
+            known, words = self.known, t.split()
             try:
                 out.append(b"".join([known[w] for w in words]))
             except KeyError:
-                fresh = list({w for w in words if w not in known})
-                local = dict(zip(fresh, self._library(fresh), strict=True))
-                out.append(b"".join([known[w] if w in known else local[w] for w in words]))
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                known.update((w, v) for w, v in local.items() if len(w) <= CACHE_WORD_CHARS)
+                out.append(b"".join([self._word(w) for w in words]))
         return out
 
 
