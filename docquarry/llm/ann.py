@@ -4,9 +4,10 @@ Fitting: coarse centroids and codebooks come from at most ``SAMPLE`` rows (those
 probes is set on the same sample, as few as hold ``TARGET`` of its true neighbours. Every row is indexed.
 
 Search: lists are put together into groups of about ``GROUP`` rows (longer lists are split), queries into blocks. A group meets a
-block once; there, asymmetric distance tables score the rows of probed lists, the best ``SHORTLIST`` of the group are scored
-again on the original vectors in double precision, and the group's best go to the final ranking. So no task holds more
-than a group and a block, whatever a list's share of the rows.
+block once; there, asymmetric distance tables score the rows of probed lists. The best ``SHORTLIST`` of the group are scored
+again on the original vectors in double precision; so is every other row whose score, raised by the most that its quantisation
+error can hide, reaches the k-th of these. So a group's best are those of an exact scan of the probed lists, ties included,
+and no task holds more than a group and a block, whatever a list's share of the rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from docquarry.llm.common import shared_dir, ship, written
 
 #: Rows the index is fitted on, most lists, share of true neighbours that probing must reach on the sample.
 SAMPLE, MOST_LISTS, TARGET = 20_000, 4096, 0.98
-#: Dimensions of a subquantiser and its codes, rows of a group, queries of a block, rows of a group that are reranked.
+#: Dimensions of a subquantiser and its codes, rows of a group, queries of a block, rows of a group that set the bound for the others.
 SUB, CODES, GROUP, BLOCK, SHORTLIST = 4, 256, 4096, 4096, 120
+#: Share of a row's size that sums in double precision may be off, with room to spare.
+ROUNDING = 1e-9
 
 
 def usable(v: Column) -> Column:
@@ -61,10 +64,14 @@ class Quantizer:
         self.cuts = [(i, min(i + SUB, d)) for i in range(0, d, SUB)]
         self.books = [kmeans(rest[:, a:z], CODES, 6) for a, z in self.cuts]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, and a bound of the distance between row and code, with room for rounding."""
         at = nearest(x, self.centroids)
         rest = x - self.centroids[at]
-        return at, np.stack([nearest(rest[:, a:z], b) for (a, z), b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
+        code = np.stack([nearest(rest[:, a:z], b) for (a, z), b in zip(self.cuts, self.books, strict=True)], 1)
+        kept = np.concatenate([b[c] for b, c in zip(self.books, code.T, strict=True)], 1)
+        far, size = np.linalg.norm(rest - kept, axis=1), np.linalg.norm(self.centroids[at], axis=1) + np.linalg.norm(kept, axis=1)
+        return at, code.astype(np.uint8), far + ROUNDING * (far + size)
 
     def probes_needed(self, sample: np.ndarray, k: int, queries: int = 200) -> int:
         """The fewest lists, best centroids first, that hold ``TARGET`` of the sample queries' true neighbours."""
@@ -104,11 +111,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         for b in batches:
             if b.num_rows:
                 x = b.column("v").flatten().to_numpy().reshape(-1, d)
-                at, code = q.encode(x)
+                at, code, far = q.encode(x)
                 codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1]), len(code), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(at.astype(np.int32)), codes, b.column("v")], names=["vec_id", "list", "code", "v"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(at.astype(np.int32)), codes, pa.array(far), b.column("v")], names=["vec_id", "list", "code", "far", "v"])
 
-    indexed = written(clean.select("vec_id", "v").mapInArrow(index, "vec_id long, list int, code binary, v array<double>"), folder, "index")
+    indexed = written(clean.select("vec_id", "v").mapInArrow(index, "vec_id long, list int, code binary, far double, v array<double>"), folder, "index")
     sizes = np.zeros(len(q.centroids), np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["count"]
@@ -126,7 +133,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     table = spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(len(sizes)) if sizes[i]], "list int, first long, split long")
     blocks = max(1, -(-clean.where("is_query").count() // BLOCK))
     rows = indexed.join(F.broadcast(table), "list").select(
-        (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("split"))).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "list", "code", "v"
+        (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("split"))).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "list", "code", "far", "v"
     )
 
     def choose(x: np.ndarray) -> np.ndarray:
@@ -159,6 +166,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(ids), -1).astype(np.int64)
         code += np.arange(code.shape[1]) * CODES
         asks, y = queries["query_id"].to_numpy(), np.stack(queries["v"].to_numpy())
+        far, norms = rows["far"].to_numpy(), np.linalg.norm(y, axis=1)
         probed, coarse = choose(y), y @ q.centroids.T
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i, ask in enumerate(asks.tolist()):
@@ -167,9 +175,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 distances[m, : len(book)] = book @ y[i, a:z]
             able = np.flatnonzero(probed[i, lists] & (ids != ask))
             score = coarse[i, lists[able]] + distances.ravel()[code[able]].sum(1)
-            if len(able) > SHORTLIST:
-                able = np.sort(able[np.argpartition(-score, SHORTLIST - 1)[:SHORTLIST]])
-            exact = x[able] @ y[i]
+            most = max(k, SHORTLIST)
+            if len(able) > most:
+                first_best = able[np.argpartition(-score, most - 1)[:most]]
+                least = np.sort((x[first_best] * y[i]).sum(1))[-k]
+                able = able[~(score + norms[i] * far[able] < least)]
+            exact = (x[able] * y[i]).sum(1)  # row by row, so that equal vectors tie wherever they stand
             best = np.lexsort((ids[able], -exact))[:k]
             out.append((np.full(len(best), ask), ids[able][best], exact[best]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))

@@ -120,6 +120,24 @@ def test_recall_and_scores(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0, 0.003])
+def test_tight_cluster(spark, spread):
+    """A third of the rows stand together: none of their neighbours is lost, copies tie to the smaller id."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(1500, 32))
+    x[::3] = x[0] + spread * r.normal(size=(500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.search(d, F.col("vec_id") % 60 == 0).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    assert len(got) == 25
+    for k, mine in got.items():
+        s = (x * x[k]).sum(1)
+        best = [int(i) for i in np.lexsort((np.arange(1500), -s)) if i != k][:20]
+        assert [v for _, v in sorted(mine)] == best
+
+
 def test_unusable_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [0.5, None]), (3, [0.0, 0.0]), (20, [1.0, 1.0]), (4, [nan, 1.0]), (5, None), (6, [2.0, 2.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0])]
