@@ -11,9 +11,7 @@ from pyspark.sql import types as T
 
 from docquarry.errors import UserError
 
-#: Longest text that is analysed; what lies behind is not searched.
-LONGEST = 32_000
-_TOKEN = r"[\p{L}\p{N}_]+(?:['.’][\p{L}\p{N}_]+)*"
+_TOKEN = r"[\p{L}\p{N}_]+(?:['.’][\p{L}\p{N}_]+)*+"  # possessive: a loop, where long texts would overflow the stack
 _PY_TOKEN = re.compile(r"\w+(?:['.’]\w+)*")
 ENGLISH_STOPS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 #: Language (code and name) -> name of a stop list; None: letters only.
@@ -124,7 +122,7 @@ def _stem_lists(terms: pd.Series) -> pd.Series:
 def analyze(text: Column, analyzer: str = "generic") -> Column:
     """Terms of a text in order; an empty list for a null text."""
     code = language(analyzer)
-    t = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, LONGEST))
+    t = F.lower(F.coalesce(text, F.lit("")))
     if code in _BIGRAMS:
         runs = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         pair = lambda r: F.when(F.char_length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substr(r, i, F.lit(2))))
@@ -143,7 +141,7 @@ def analyze(text: Column, analyzer: str = "generic") -> Column:
 def analyze_query(text: str, analyzer: str = "generic") -> list[str]:
     """The same analysis of one query string, on the driver."""
     code = language(analyzer)
-    t = text[:LONGEST].lower()
+    t = text.lower()
     if code in _BIGRAMS:
         return [g for r in re.findall(r"[^\W_]+", t) for g in ([r] if len(r) < 2 else [r[i : i + 2] for i in range(len(r) - 1)])]
     terms = _PY_TOKEN.findall(t)
