@@ -4,7 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.engine import Index
 from docquarry.functions.text import analyze, analyze_query
+from docquarry.mapping import Mapping
+from docquarry.operators import suggest
 from docquarry.plans import catalogue
 from tests.test_entry import _rows
 
@@ -45,3 +48,15 @@ def test_analyzers_on_long_texts(spark):
     for name in ("generic", "english", "french"):
         assert [r[0] for r in df.select(analyze(F.col("t"), name)).collect()] == [analyze_query(t, name) for t in texts], name
     assert analyze_query(texts[0])[-1] == "tail" and len(analyze_query(texts[1])) == 1
+
+
+def test_long_lists_and_suggestions(spark, tmp_path):
+    """Every item of a list is searched to its end, and phrases behind a long text are suggested."""
+    m = Mapping.parse("l", {"fields": {"many": {"type": "text[]", "search": {"lexical": {"analyze": "english"}}}, "one": {"type": "text", "suggest": {"expand": {"min-terms": 1, "max-terms": 2}}}}})
+    i = Index(spark, m, f"file://{tmp_path}/l")
+    i.add([{"_id": 1, "many": [FAR + "zebras", FAR, "walrus"], "one": FAR + "red panda"}, {"_id": 2, "many": ["short"], "one": "short"}])
+    i.flush()
+    for word in ("zebra", "walrus"):
+        assert [h["_id"] for h in i.search({"query": {"match": {"many": word}}})["hits"]] in ([1], ["1"]), word
+    docs = spark.createDataFrame([(FAR + "red panda",)], "one string")
+    assert suggest.candidates(docs, m, "one").where("text = 'red panda'").count() == 1
