@@ -166,12 +166,13 @@ class Model:
             if sign in _CLOSING and len(rest) > 1 and sign in self.ids:
                 ids, n, text, last = self._chunk(rest)
                 if last and (self.pairs.get((last, sign)) or self._fits(last, sign)):
-                    x = (f"{ids},{self.decimal[sign]}", n + 1, text + sign, sign)
+                    own = self.decimal[sign]
+                    x = (f"{ids},{own}", n + 1, text + self.decode([int(own)], False), sign)
             if x is None:
                 pieces = self.backtrack(chunk)
                 try:
-                    # pieces of the vocabulary decode to themselves, marks to spaces
-                    x = (",".join([self.decimal[p] for p in pieces]), len(pieces), "".join(pieces).replace(MARK, " "), pieces[-1])
+                    found = [self.decimal[p] for p in pieces]
+                    x = (",".join(found), len(found), self.decode(list(map(int, found)), False), pieces[-1])
                 except KeyError:
                     found = self._ids(pieces)
                     x = (",".join(map(str, found)), len(found), self.decode(found, False), "" if found[-1] in self.byte_of else self.surface[found[-1]])
@@ -258,6 +259,20 @@ def encode_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode_table(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, text): the text that the ids of each row stand for. Null ids count as none and give an empty text."""
+    ship(encoded.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                p = b.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([m.decode(x or []) for x in p.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col(key).cast("long").alias("k"), F.col(ids).cast("array<int>").alias("i")).mapInArrow(run, "doc_id long, text string")
+
+
 def report(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, where the ids are decoded again to give the last.
 

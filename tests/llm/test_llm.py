@@ -289,6 +289,18 @@ def test_pieces_like_the_library(docs, texts):
     assert list(r.ids) == sp.encode(texts[20_005])
 
 
+def test_decoded_text_comes_from_the_ids(docs, texts):
+    m = sp_bpe.Model(PIECE)
+    the, other = m.ids["▁the"], m.ids["▁and"]
+    m.decimal["▁the"] = str(other)  # a wrong id must show, also before a closing sign
+    for t in ("the", "the."):
+        ids, _, text = m.encode_text(t)
+        assert str(the) not in ids.split(",") and text == m.decode([int(i) for i in ids.split(",")]) != t
+    decoded = sp_bpe.decode_table(sp_bpe.encode_table(docs.where("doc_id < 10050"), PIECE), PIECE).collect()
+    library = sp_bpe.model(PIECE)
+    assert decoded and all(r.text == library.decode(library.encode(texts[r.doc_id] or "")) for r in decoded)
+
+
 # ---- 9 -------------------------------------------------------------------------------------------------------------
 def test_token_files(spark, docs, texts):
     enc = library(WORD)
