@@ -29,8 +29,8 @@ def term_counts(matches: DataFrame, m: Mapping, a: dsl.TermAgg) -> DataFrame:
         raise UserError(f"field {f.name!r} of type {f.type} has no term facet")
     c = column(f.name)
     values = matches.select(F.explode(F.array_distinct(c)).alias("v") if f.is_list else c.alias("v")).where("v is not null")
-    top = values.groupBy("v").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "v").limit(a.size)
-    return top.select(_label(f, F.col("v")).alias("term"), "count")
+    top = values.groupBy("v").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "v")
+    return (top if a.size is None else top.limit(a.size)).select(_label(f, F.col("v")).alias("term"), "count")
 
 
 def range_counts(matches: DataFrame, m: Mapping, a: dsl.RangeAgg) -> DataFrame:
@@ -45,7 +45,7 @@ def _plain(v: Any) -> Any:
 
 
 def facets(matches: DataFrame, m: Mapping, aggs: dict[str, Any]) -> dict[str, dict]:
-    """All facets of a request, as in a response; their size is bounded by the request."""
+    """All facets of a request, as in a response; their size is bounded by the request, or for "all" by the distinct values."""
     out = {}
     for name, a in aggs.items():
         if isinstance(a, dsl.TermAgg):

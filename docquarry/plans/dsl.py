@@ -137,7 +137,7 @@ class Filters:
 @dataclass(frozen=True)
 class TermAgg:
     field: str
-    size: int = 10
+    size: int | None = 10  # None: all
 
 
 @dataclass(frozen=True)
@@ -185,7 +185,7 @@ class SuggestRequest:
     scale: float = 60.0
 
 
-MOST_CANDIDATES, ALL_TERMS = 10_000, 131_072
+MOST_CANDIDATES = 10_000
 
 
 def _object(x: Any, what: str, allowed: set[str], needed: tuple[str, ...] = ()) -> dict:
@@ -322,7 +322,7 @@ def parse_aggs(x: dict) -> dict[str, Any]:
         if kind == "term":
             d = _object(d, kind, {"field", "size"}, ("field",))
             size = d.get("size", 10)
-            out[name] = TermAgg(d["field"], ALL_TERMS if size == "all" else _count(size, "size"))
+            out[name] = TermAgg(d["field"], None if size == "all" else _count(size, "size"))
         elif kind == "range":
             d = _object(d, kind, {"field", "ranges"}, ("field", "ranges"))
             out[name] = RangeAgg(d["field"], tuple(parse_bounds(r) for r in _many(d["ranges"], "ranges")))

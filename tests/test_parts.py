@@ -17,6 +17,7 @@ from docquarry.functions.text import analyze, analyze_query, porter, word_ngrams
 from docquarry.mapping import Mapping
 from docquarry.models import HttpEmbedder, Models, logits, pool
 from docquarry.operators import filters
+from docquarry.operators.aggs import term_counts
 from docquarry.operators.suggest import edits
 from docquarry.plans import dsl
 from docquarry.plans.search import Search, corpus_of
@@ -236,3 +237,9 @@ def test_scan_plan_has_no_shuffle_before_the_top(spark):
     s = Search(corpus_of(docs, m), dsl.parse_search({"query": {"match": {"text": "a"}}, "filters": {"include": {"term": {"lang": "en"}}}}))
     plan = s.hits()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_facet_of_all_terms(spark):
+    m = mapping(n={"type": "int", "facet": True})
+    a = dsl.parse_search({"aggs": {"t": {"term": {"field": "n", "size": "all"}}}}).aggs["t"]
+    assert term_counts(spark.range(140_000).select(F.col("id").cast("int").alias("n")), m, a).count() == 140_000
