@@ -17,7 +17,7 @@ from docquarry.plans.search import Search, corpus_of
 _LEX = {"type": "text", "search": {"lexical": {"analyze": "generic"}}, "facet": True, "filter": True}
 _ALL = {"filter": True, "facet": True, "sort": True}
 _MODELS = Models(ranker={"overlap": OverlapRanker()})
-_TOKENS = r"regexp_extract_all(lower(substr(coalesce({}, ''), 1, 32000)), '[\p{{L}}\p{{N}}_]+(?:[''.’][\p{{L}}\p{{N}}_]+)*')"
+_TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+(?:[''.’][\p{{L}}\p{{N}}_]+)*')"
 
 
 def _f(kind: str, **more) -> dict:
