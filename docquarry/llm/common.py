@@ -80,6 +80,23 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._docquarry_shipped = True
 
 
+def send_file(spark: SparkSession, path: str) -> None:
+    """Make a file of the driver's machine (a vocabulary) reachable for ``local_file`` on all workers; once per session."""
+    sent = getattr(spark.sparkContext, "_docquarry_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        spark.sparkContext._docquarry_files = sent | {path}
+
+
+def local_file(path: str) -> str:
+    """On a worker: the file itself where it is installed, else the copy that ``send_file`` brought."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case, nothing else touched. The byte-wise path of ``lower`` serves pure ASCII texts."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

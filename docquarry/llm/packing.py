@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.llm.bpe import byte_encoder
-from docquarry.llm.common import shared_dir, ship, written
+from docquarry.llm.common import local_file, send_file, shared_dir, ship, written
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -78,14 +78,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """Pieces of each document with the task that made them and their number there among pieces of equal length."""
     ship(docs.sparkSession)
+    send_file(docs.sparkSession, tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), byte_encoder(tokenizer).encode
+        part, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), byte_encoder(local_file(tokenizer), plain).encode
         for b in batches:
             rows: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -102,16 +103,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(encode, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece in a sequence of at most ``capacity`` tokens.
 
     A null text is empty: its document is one piece that holds the end id. A null key stays null. Repeated rows are packed
     each; texts of any length are cut only where they exceed the capacity. An empty table gives an empty table. Other
-    columns of the input play no part.
+    columns of the input play no part. A special token's string in a text is that token; with ``plain`` it is ordinary text.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    made = written(pieces(docs, tokenizer, capacity, end_id, key, text), folder, "pieces")
+    made = written(pieces(docs, tokenizer, capacity, end_id, key, text, plain), folder, "pieces")
     per_task = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_task = written(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), folder, "per_task")

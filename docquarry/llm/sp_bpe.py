@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ship
+from docquarry.llm.common import local_file, send_file, ship
 
 MARK = "▁"
 _CLOSING, _ONE = frozenset(".,;:!?"), [1]
@@ -247,9 +247,10 @@ def model(path: str) -> Model:
 def encode_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the ids of each whole text. A null text counts as empty and has no ids; repeated rows are encoded each."""
     ship(docs.sparkSession)
+    send_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(local_file(path))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 p = b.slice(lo, 256)
@@ -262,9 +263,10 @@ def encode_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 def decode_table(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text): the text that the ids of each row stand for. Null ids count as none and give an empty text."""
     ship(encoded.sparkSession)
+    send_file(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(local_file(path))
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 p = b.slice(lo, 256)
@@ -276,13 +278,18 @@ def decode_table(encoded: DataFrame, path: str, key: str = "doc_id", ids: str =
 def report(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, where the ids are decoded again to give the last.
 
+    A null or empty text has no ids and decodes to the empty text; texts of any length are encoded whole (a run without
+    spaces is one chunk and needs about 170 bytes a sign in its worker); repeated rows are encoded each; a null key stays
+    null; an empty table gives an empty table; other columns play no part.
+
     Chunks decode to the same text wherever they stand, but for the dummy prefix of the first; so the decoding of each
     distinct chunk is remembered with its ids.
     """
     ship(docs.sparkSession)
+    send_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
+        m = model(local_file(path))
         sha = lambda s: hashlib.sha256(s).hexdigest()
         for b in batches:
             rows: list[tuple] = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.bpe import byte_encoder
-from docquarry.llm.common import ship
+from docquarry.llm.common import local_file, send_file, ship
 
 RULES = ("first", "last", "most")
 
@@ -39,22 +39,24 @@ def allocate(token_ends: np.ndarray, borders: np.ndarray, rule: str) -> np.ndarr
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer: str, fields: Sequence[str] = ("text",), sections: str = "lines", separator: str = "\n", rule: str = "first", key: str = "doc_id"
+    docs: DataFrame, tokenizer: str, fields: Sequence[str] = ("text",), sections: str = "lines", separator: str = "\n", rule: str = "first", key: str = "doc_id", plain: bool = False,
 ) -> DataFrame:
     """One row per section: doc_id, section (from 0), start, end (code points in the document, end exclusive), n_tokens.
 
     The document is the fields' texts joined by ``separator``. sections ``lines``: each line with its line end; ``fields``: each
     field with the separator behind it. Null fields are empty. A document without text has one section (as many as
     fields, for ``fields``) without tokens. Repeated rows are counted each, a null key stays null, texts are encoded whole
-    at any length, an empty table gives an empty table, and other columns play no part.
+    at any length, an empty table gives an empty table, and other columns play no part. A special token's string in a text is
+    that token; with ``plain`` it is ordinary text.
     """
     if rule not in RULES or sections not in ("lines", "fields"):
         raise ValueError(f"unknown rule {rule!r} or sections {sections!r}")
     ship(docs.sparkSession)
+    send_file(docs.sparkSession, tokenizer)
     n_fields = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_encoder(tokenizer)
+        enc = byte_encoder(local_file(tokenizer), plain)
         size = np.zeros(max(enc.token_bytes) + 1, np.int64)
         for i, t in enc.token_bytes.items():
             size[i] = len(t)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.llm.bpe import word_encoder
-from docquarry.llm.common import shared_dir, ship, written
+from docquarry.llm.common import local_file, send_file, shared_dir, ship, written
 
 MAGIC, VERSION, BLOCK, LANES = b"DQTK", 1, 1024, 32
 ROWS = BLOCK // LANES
@@ -202,20 +202,22 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """Encode the texts and write them in ascending order of key; the manifest: part, path, n_docs, n_tokens.
 
     One file per range of keys. A task writes to a name of its own and only the attempt that succeeds is in the manifest, so
     a task can be run again anywhere. Nulls: a null text is empty (its document holds only the end id); a null key comes
-    first. Rows with equal keys are ordered by text, and repeated rows are all written. No input, no files.
+    first. Rows with equal keys are ordered by text, and repeated rows are all written. No input, no files. Texts of any length are encoded whole, and other columns play no part.
+    A special token's string in a text is that token; with ``plain`` it is ordinary text.
     """
     spark = docs.sparkSession
     ship(spark)
+    send_file(spark, tokenizer)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, sink, uri = word_encoder(tokenizer), None, None, ""
+        encoder, writer, sink, uri = word_encoder(local_file(tokenizer), plain), None, None, ""
         end = np.array([end_id], np.uint32).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -265,6 +267,9 @@ def read_files(manifest: DataFrame) -> DataFrame:
     return placed.select("path", "base").repartition(n, "path").mapInArrow(read, RESULT)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Write the token files of ``docs`` to the shared folder and read them back."""
-    return read_files(write_files(docs, tokenizer, shared_dir(docs.sparkSession), end_id))
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
+    """Write the token files of ``docs`` to the shared folder and read them back.
+
+    Nulls, empty and long texts, equal keys, empty tables, other columns and special strings: see ``write_files``.
+    """
+    return read_files(write_files(docs, tokenizer, shared_dir(docs.sparkSession), end_id, key, text, plain))

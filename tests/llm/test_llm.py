@@ -23,14 +23,16 @@ from tests.llm import brute
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SF = "/root/testdata/sf0.001"
 BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
-BITS = ["a", "B", "é", "ß", "İ", "́", " ", "  ", "\n", "\x1c", "　", " ", "'s", "'LL", "1", "२", "!?", "<|endoftext|>", "word", "中文", "😀", "\x00", "K", "\xa0", "_", "<s>", "<0x41>", "▁", "the", "ing"]
+BITS = ["a", "B", "é", "ß", "İ", "́", " ", "  ", "\n", "\x1c", "　", " ", "'s", "'LL", "1", "२", "!?", "<|endoftext|>", "<|startoftext|>", "word", "中文", "😀", "\x00", "K", "\xa0", "_", "<s>", "<0x41>", "▁", "the", "ing"]
 
 
-def library(path):
+def library(path, plain=False):
+    """The library as it comes; ``plain``: with its switch for special strings as ordinary text."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False)
 
 
@@ -402,10 +404,14 @@ def test_plan_is_best_on_small_cases():
 
 
 # ---- the rest ------------------------------------------------------------------------------------------------------
-def test_encoders_like_the_library(texts):
-    word, byte = bpe.WordEncoder(WORD), bpe.ByteEncoder(BYTE)
-    lw, lb = library(WORD), library(BYTE)
-    for t in texts.values():
+@pytest.mark.parametrize("plain", [False, True])
+def test_encoders_like_the_library(texts, plain):
+    word, byte = bpe.WordEncoder(WORD, plain), bpe.ByteEncoder(BYTE, plain=plain)
+    lw, lb = library(WORD, plain), library(BYTE, plain)
+    r = random.Random(11)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "word", "É", "\n", "'s", "1", "\x1c", "<", "|", ">", "!?"]
+    glued = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(800)] + ["x<|endoftext|>y", "<|endoftext|>" * 3]
+    for t in [*texts.values(), *glued]:
         t = t or ""
         assert np.frombuffer(word.encode_batch([t])[0], "<u4").tolist() == lw(t).ids and byte.encode(t) == lb(t).ids
 
