@@ -122,6 +122,44 @@ def test_recall_and_scores(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["equal", "mixed"])
+def test_recall_and_share(spark, lengths, monkeypatch):
+    """At most 45 % of the rows are probed for a recall of 0.92 on directions without any clusters, of equal or mixed lengths."""
+    r, n, real = np.random.default_rng(8), 4000, ann._probes_needed
+    monkeypatch.setattr(ann, "_probes_needed", lambda i, q, *more: seen.append((real(i, q, *more), q)) or seen[-1][0])
+    seen = []
+    x = r.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "mixed":
+        x *= r.uniform(0.5, 1.5, (n, 1)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for row in ann.search(d, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    x = x.astype(np.float64)
+    hit = 0
+    for k, mine in got.items():
+        s = x @ x[k]
+        s[k] = -np.inf
+        hit += len(mine & set(np.argsort(-s)[:20].tolist()))
+    need, q = seen[0]
+    sizes = np.bincount(ann.nearest(x, q.centroids), minlength=len(q.centroids))
+    share = np.mean([sizes[np.argsort(-q.promise(x[k]))[:need]].sum() / n for k in got])
+    assert len(got) == 200 and hit / 4000 >= 0.92 and share <= 0.45
+
+
+def test_groups_of_lists():
+    """Every list is in one group; groups are small unless one list is long; near lists stand together."""
+    x = np.random.default_rng(1).normal(size=(3000, 8))
+    q = ann.Quantizer(x, 200)
+    sizes = np.bincount(ann.nearest(x, q.centroids), minlength=200)
+    sizes[5] = 9000
+    g = q.groups(sizes, 400)
+    rows = np.bincount(g, sizes)
+    assert g.min() == 0 and set(g) == set(range(g.max() + 1)) and rows[np.arange(len(rows)) != g[5]].max() <= 400
+    assert (g == g[5]).sum() == 1 and 3000 / 400 <= len(rows) <= 40
+
+
 @pytest.mark.parametrize("spread", [0, 0.003])
 def test_tight_cluster(spark, spread):
     """A third of the rows stand together: none of their neighbours is lost, copies tie to the smaller id."""
@@ -145,6 +183,10 @@ def test_unusable_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.5, None]), (3, [0.0, 0.0]), (20, [1.0, 1.0]), (4, [nan, 1.0]), (5, None), (6, [2.0, 2.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit(1))
     assert [tuple(r) for r in sorted(ann.search(d, F.col("vec_id") % 20 == 0).collect())] == [(20, 1, 6, 4.0), (20, 2, 1, 1.0), (20, 3, 8, 1.0)]
+    # rows that repeat an id count once, by their smallest vector; vectors of another dimension meet their own kind
+    again = d.select("vec_id", "embedding").union(spark.createDataFrame([(6, [1.5, 9.0]), (6, [2.0, 2.0]), (1, [1.0, 0.0]), (40, [3.0]), (40, [4.0])], "vec_id long, embedding array<float>"))
+    got = [tuple(r) for r in sorted(ann.search(again, F.col("vec_id") % 20 == 0).collect())]
+    assert got == [(20, 1, 6, 10.5), (20, 2, 1, 1.0), (20, 3, 8, 1.0), (40, 1, 7, 3.0)]
     assert ann.search(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
