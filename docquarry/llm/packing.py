@@ -146,7 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = made.join(per_task.select("part", "length", "base"), ["part", "length"]).select(
+    # one row for each length of each task: it grows with the corpus, so it is sorted and merged, whatever its files' size says
+    ranked = made.join(per_task.select("part", "length", "base").hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
