@@ -297,18 +297,65 @@ def test_chat_round_trip(spark):
     rows = [(c, t, r.choice(["system" if t == 0 else "user", "user", "assistant", "as\\si\n<|st"]), "".join(r.choice(bits) for _ in range(r.randint(0, 60)))) for c in range(40) for t in range(r.randint(1, 30))]
     rows += [(90, 0, "user", None), (90, 0, "user", "tie"), (90, 0, "user", "tie"), (90, None, None, "x"), (91, 0, "assistant", "long word " * 3000), (91, 1, "assistant", "y"), (92, 0, "system", "only"), (None, 1, "user", "a")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(1))
-    w = chat.format_windows(d, budget=120, history=30).cache()
+    w = chat.format_windows(d, budget=480, history=120).cache()
     assert {x.conv_id: tuple(x)[1:5] for x in chat.digests(w).collect()} == chat_want(rows)
-    assert w.where("repeated > 0").count() > 50
+    assert w.where("repeated > 0").count() > 50 and w.where("formatted like '%<|im_more|>%'").count() > 50
     for x in w.collect():
-        assert x.formatted.count("<|im_start|>") == x.formatted.count("<|im_end|>\n") >= 1
-        assert x.tokens > 0
-    small = chat.format_windows(d.where("conv_id < 40 and length(text) < 40"), budget=400, history=60)
-    assert small.where("tokens > 400").count() == 0
+        assert len(re.findall(r"<\|im_(?:start|more)\|>", x.formatted)) == x.formatted.count("<|im_end|>\n") >= 1
+        assert x.tokens == len(x.formatted.encode()) <= 480
     assert chat.format_windows(d.limit(0)).count() == 0
     assert "Python" not in chat.digests(chat.format_windows(d))._jdf.queryExecution().executedPlan().toString()
 
 
+def chat_windows(rows, budget, history):
+    """Greedy filling, turn by turn, of a conversation whose turns are all short: [(own, repeated, with the system turn)]."""
+    cost = [len(f"<|im_start|>{r}\n{x}<|im_end|>\n".encode()) for r, x in rows]
+    system = next((i for i, (r, _) in enumerate(rows) if r == "system"), None)
+    out, i = [], 0
+    while i < len(rows):
+        j = i
+        while j > 0 and sum(cost[j - 1 : i]) <= history:
+            j -= 1
+        keeps = system is not None and system < j
+        extra = sum(cost[j:i]) + (cost[system] if system is not None and system < i else 0)
+        k = i + 1
+        while k < len(rows) and extra + sum(cost[i : k + 1]) <= budget:
+            k += 1
+        out.append((k - i, i - j + keeps, keeps))
+        i = k
+    return out
+
+
+@pytest.mark.parametrize("system", [0, 3, None])
+def test_chat_windows_are_filled(spark, system):
+    r = random.Random(6)
+    turns = [("system" if t == system else r.choice(["user", "assistant"]), f"t{t} " + "word " * r.randint(0, 40)) for t in range(300)]
+    d = spark.createDataFrame([(7, t, *x) for t, x in enumerate(turns)], "conv_id long, turn int, role string, text string")
+    got = chat.format_windows(d, budget=1024, history=192).orderBy("window").collect()
+    want = chat_windows(turns, 1024, 192)
+    # filling starts anew every 16 budgets, so windows agree up to there
+    same = next((i for i, x in enumerate(got) if x.window >= 16 * 1024), len(got)) - 1
+    assert same > 15
+    for x, (own, repeated, keeps) in zip(got[:same], want):
+        assert (x.formatted.count("<|im_start|>") - x.repeated, x.repeated) == (own, repeated)
+        assert x.formatted.startswith("<|im_start|>system") == (keeps or (system == 0 and x.window == 0))
+    even = spark.createDataFrame([(1, t, "assistant", "x" * (104 - 34)) for t in range(600)], "conv_id long, turn int, role string, text string")
+    fills = [x.tokens for x in chat.format_windows(even, budget=1024, history=192).orderBy("window").collect()]
+    assert max(fills) <= 1024 and sum(fills[:-1]) / len(fills[:-1]) >= 0.85 * 1024
+
+
+def test_chat_costs_and_long_turns(spark):
+    rows = [(1, 0, "system", "s" * 5000), (1, 1, "assistant", "é" * 9000), (1, 2, "user", "<|" * 4000), (1, 3, "assistant", "😀x" * 3000), (2, 5000, "assistant", "b"), (2, 1, "user", "a"), (3, None, "r" * 5000, "z")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    w = chat.format_windows(d).cache()
+    assert {x.conv_id: tuple(x)[1:5] for x in chat.digests(w).collect()} == chat_want(rows)
+    assert w.where("conv_id <> 3").agg(F.max("tokens")).first()[0] <= chat.BUDGET and w.where("conv_id = 3").count() == 1
+    counted = chat.format_windows(d.where("conv_id = 2").withColumn("c", F.lit(300)), budget=1200, history=310, cost=F.col("c"))
+    assert [(x.tokens, x.repeated) for x in counted.collect()] == [(600, 0)]
+    with pytest.raises(ValueError):
+        chat.format_windows(d, budget=100, history=90)
+
+
 def test_chat_query_has_the_planted_conversation(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     r = q.op7_chat(spark, SF).where("conv_id = -1").collect()
