@@ -1,16 +1,18 @@
 """License scans with a positional rare-token index of license notices.
 
-Postings (template, position) of every word of every template are kept with the word's inverse document frequency among the
-templates. A file's license words of the highest frequencies (those in at most ``RARE_IN`` templates) vote for (template, file
-position - template position); near votes are joined, the template is laid over the file there, and a label is given when
-enough of its words stand in place and its mandatory phrases stand there, word by word.
+A notice counts as found where at least ``LEAST_SCORE`` of its words stand in order, in a stretch little longer than itself, with its
+key phrases, word by word, near their places. So of its n words at most a quarter may be missing, and of any n / 4 + ``LEAST_VOTES``
+words at least ``LEAST_VOTES`` stand. The index keeps just that many positions of each notice, those whose words have the highest
+inverse document frequencies among the notices. A file's words that it knows vote for (notice, file position - notice position); a
+place with votes for enough positions, no further apart than the notice's slack allows, is verified. Tags that name an identifier
+are read as they stand.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,84 +21,146 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import ship
+from docquarry.llm.license_texts import IDENTIFIERS, NOTICES
 
 #: Words of a text in which A-Z are in lower case, as bytes of UTF-8: digits, letters and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases that are counted wherever their words stand consecutively.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
-#: (label, notice, mandatory phrases).
-TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("permission is hereby granted free of charge", "to deal in the software without restriction")),
-    ("mit", "Released under the MIT License", ("mit license",)),
-    ("apache", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at", ("apache license version 2",)),
-    ("apache", "Licensed under the Apache License, Version 2.0", ("apache license version 2",)),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ("gnu general public license",)),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu lesser general public license",)),
-    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu affero general public license",)),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee is hereby granted",)),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file", ("mozilla public license",)),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", ("free and unencumbered software released into the public domain",)),
-)
-#: A word is rare if at most so many templates hold it; votes within SLACK positions are joined; words must be in place within SLACK.
-RARE_IN, SLACK, LEAST_VOTES, LEAST_SCORE = 2, 4, 2, 0.75
+#: Share of a notice's words that must stand in order; votes that a place needs; a notice's slack is one for so many words.
+LEAST_SCORE, LEAST_VOTES, SLACK_SHARE = 0.75, 2, 12
 
 
 def words(text: str) -> list[bytes]:
     return WORD.findall(text.encode().lower())
 
 
+def _stands(ws: list[bytes], phrase: list[bytes], low: int, high: int) -> bool:
+    """Whether a phrase begins at a position from ``low`` to ``high``."""
+    i, low = max(0, low), max(0, low)
+    while True:
+        try:
+            i = ws.index(phrase[0], i, max(low, high + 1))
+        except ValueError:
+            return False
+        if ws[i : i + len(phrase)] == phrase:
+            return True
+        i += 1
+
+
+class Notice:
+    """A notice with the masks of its words' positions."""
+
+    def __init__(self, label: str, text: str, keys: tuple[tuple[str, ...], ...], never: tuple[str, ...]):
+        self.label, self.words = label, words(text)
+        self.n = len(self.words)
+        self.slack = self.n // SLACK_SHARE
+        self.never = [words(p) for p in never]
+        self.keys = [[(p, o) for p in map(words, group) for o in self._places(p)] for group in keys]
+        self.masks: dict[bytes, int] = defaultdict(int)
+        for q, w in enumerate(self.words):
+            self.masks[w] |= 1 << q
+
+    def _places(self, phrase: list[bytes]) -> list[int]:
+        at = [i for i in range(self.n) if self.words[i : i + len(phrase)] == phrase]
+        if not at:
+            raise ValueError(f"{self.label}: no {b' '.join(phrase)!r} in the notice")
+        return at
+
+    def share(self, ws: list[bytes], d: int) -> float:
+        """Share of the notice's words that stand in order where the notice would begin at ``d``, within its slack.
+
+        The longest common subsequence, by bits: a position's bit falls where a subsequence can grow by it.
+        """
+        v = full = (1 << self.n) - 1
+        for w in ws[max(0, d - 2 * self.slack) : max(0, d + self.n + 3 * self.slack)]:
+            if (m := self.masks.get(w)) is not None:
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        return (self.n - v.bit_count()) / self.n
+
+    def verify(self, ws: list[bytes], d: int) -> float:
+        """The share, if it is enough and the key phrases stand at their places and the others don't; else 0."""
+        s = self.share(ws, d)
+        if s < LEAST_SCORE:
+            return 0.0
+        low, high = d - 2 * self.slack, d + 3 * self.slack
+        if not all(any(_stands(ws, p, low + o, high + o) for p, o in group) for group in self.keys):
+            return 0.0
+        return 0.0 if any(_stands(ws, p, low, high + self.n) for p in self.never) else s
+
+
 class Index:
-    """Templates, their postings and the rare words' weights."""
+    """Notices, and the postings (notice, position) of each one's rarest words."""
 
-    def __init__(self, templates=TEMPLATES):
-        self.templates = [(label, words(t), [words(p) for p in phrases]) for label, t, phrases in templates]
+    def __init__(self, notices=NOTICES):
+        self.notices = [Notice(*x) for x in notices]
+        held = Counter(w for x in self.notices for w in set(x.words))
+        self.idf = {w: math.log(1 + len(self.notices) / n) for w, n in held.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, ws, _) in enumerate(self.templates):
-            for q, w in enumerate(ws):
-                self.postings[w].append((k, q))
-        held = {w: len({k for k, _ in p}) for w, p in self.postings.items()}
-        self.idf = {w: math.log(1 + len(self.templates) / n) for w, n in held.items()}
-        least = math.log(1 + len(self.templates) / RARE_IN)
-        self.rare = frozenset(w for w, x in self.idf.items() if x >= least)
+        self.need = []
+        for k, x in enumerate(self.notices):
+            missing = math.floor((1 - LEAST_SCORE) * x.n)
+            self.need.append(min(LEAST_VOTES, x.n - missing))
+            for q in sorted(range(x.n), key=lambda q: (-self.idf[x.words[q]], q))[: missing + LEAST_VOTES]:
+                self.postings[x.words[q]].append((k, q))
+        self.postings = dict(self.postings)
+        self.identifiers = sorted(((words(i), i) for i in IDENTIFIERS), key=lambda x: -len(x[0]))
+        # the notices that hold each fixed phrase, and where
+        self.around = {phrase: [(x, o) for x in self.notices if _stands(x.words, p, 0, x.n) for o in x._places(p)[:1]] for phrase, _ in BASE for p in [[w.encode() for w in phrase]]}
 
     def matches(self, ws: list[bytes]) -> list[tuple[str, float]]:
-        """(label, share of the template's words in place) of every template that is verified somewhere in the file."""
-        if self.rare.isdisjoint(ws):
-            return []
-        votes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        """(label, share) of every notice that is verified somewhere in the file, and (label, 1) of every tag."""
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        postings = self.postings
         for p, w in enumerate(ws):
-            if w in self.rare:
-                for k, q in self.postings[w]:
-                    votes[k][p - q].add(q)
-        out = []
-        for k, lanes in votes.items():
-            label, tw, phrases = self.templates[k]
-            need = min(LEAST_VOTES, sum(w in self.rare for w in tw))
-            best = 0.0
-            group: list[int] = []
-            for d in [*sorted(lanes), None]:
-                if group and (d is None or d - group[-1] > SLACK):
-                    if len(set().union(*(lanes[g] for g in group))) >= need:
-                        best = max(best, self._verify(ws, tw, phrases, group[0], group[-1]))
-                    group = []
-                if d is not None:
-                    group.append(d)
-            if best >= LEAST_SCORE:
-                out.append((label, best))
-        return out
-
-    @staticmethod
-    def _verify(ws: list[bytes], tw: list[bytes], phrases: list[list[bytes]], low: int, high: int) -> float:
-        a, z = max(0, low - SLACK), max(0, high + len(tw) + SLACK)
-        near = ws[a:z]
-        for p in phrases:
-            if not any(near[i : i + len(p)] == p for i, w in enumerate(near) if w == p[0]):
-                return 0.0
-        found = 0
-        for q, w in enumerate(tw):
-            found += w in ws[max(0, low + q - SLACK) : max(0, high + q + SLACK + 1)]
-        return found / len(tw)
+            if w in postings:
+                for k, q in postings[w]:
+                    votes[k].append((p - q, q))
+        out = dict(self._tags(ws))
+        for k, found in votes.items():
+            if len(found) < self.need[k]:
+                continue
+            x, best = self.notices[k], 0.0
+            found.sort()
+            inside: Counter = Counter()
+            j, done = 0, -math.inf
+            for d, q in found:
+                while j < len(found) and found[j][0] <= d + 2 * x.slack:
+                    inside[found[j][1]] += 1
+                    j += 1
+                # a place that was verified at most a slack before covers this one
+                if len(inside) >= self.need[k] and d > done + x.slack and best < 1:
+                    best, done = max(best, x.verify(ws, d)), d
+                inside[q] -= 1
+                if not inside[q]:
+                    del inside[q]
+            if best > out.get(x.label, 0):
+                out[x.label] = best
+        return sorted(out.items())
+
+    def _tags(self, ws: list[bytes]) -> list[tuple[str, float]]:
+        out, i, tag = [], -1, [b"spdx", b"license", b"identifier"]
+        while True:
+            try:
+                i = ws.index(tag[0], i + 1)
+            except ValueError:
+                return out
+            if ws[i : i + 3] == tag:
+                rest = ws[i + 3 : i + 9]
+                out += [(label, 1.0) for w, label in self.identifiers if rest[: len(w)] == w][:1]
+
+    def near(self, ws: list[bytes], places: list[tuple[int, str]]) -> float:
+        """The best share of a notice's words in order around fixed phrases, verified or not."""
+        best = 0.0
+        for at, label in places:
+            for phrase, name in BASE:
+                if name == label:
+                    for x, o in self.around[phrase]:
+                        best = max(best, x.share(ws, at - o))
+                        if best == 1:
+                            return best
+        return best
 
 
 @lru_cache(maxsize=1)
@@ -126,10 +190,11 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the best share of a label's words that stand in place: 1 where a fixed phrase stands, else that of the best
-    verified template, else 0. A null or empty text has no words, places or labels (``first_word`` and ``last_word`` null, labels
-    empty). Whole texts of any length are read, repeated rows each, an empty table gives an empty table, a null key stays
-    null, and other columns play no part.
+    ``labels``: the fixed phrases' labels, and the identifiers of verified notices and of tags. ``score``: the best share of a
+    notice's words that stand in order, of verified notices and of notices laid around the fixed phrases (below the least share of a
+    verified one, if nothing but the phrase is there); 1 for a tag; else 0. A null or empty text has no words, places or labels
+    (``first_word`` and ``last_word`` null, labels empty). Whole texts of any length are read, repeated rows each, an empty table
+    gives an empty table, a null key stays null, and other columns play no part.
     """
     ship(docs.sparkSession)
 
@@ -145,7 +210,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 base = {label for _, label in places}
                 found = idx.matches(ws)
                 starts = [i for i, _ in places]
-                score = 1.0 if places else max((s for _, s in found), default=0.0)
+                score = max((s for _, s in found), default=0.0)
+                if score < 1 and places:
+                    score = max(score, idx.near(ws, places))
                 rows.append((k, len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in found})), score))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
