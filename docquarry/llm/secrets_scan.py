@@ -5,11 +5,14 @@ from labelled samples by a grouped count of bigrams. A candidate token is a secr
 bigram exceeds ``THRESHOLD``. The models travel as one literal array of 128 x 128 doubles, whatever the corpus holds.
 
 Positions without user functions: ``split`` by a pattern gives the gaps between the matches that ``regexp_extract_all``
-gives for it, so start and end are sums of lengths (two-level sums: n * (n / 64 + 64) steps for n matches).
+gives for it, so start and end are running sums of lengths, in blocks of blocks. Masking reads a text in blocks of signs, too. So
+the work is in proportion to the text, however many matches it holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +20,12 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-#: Tokens that the models judge: long, with a digit and a letter.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models judge: long, with a digit and a letter, and no UUID (an identifier, though its digits are random).
+UUID = r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?!" + UUID + r"(?![A-Za-z0-9+/_=-]))(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
+#: Signs of a block in which masking reads a text.
+SIGNS = 1024
 #: Nats per bigram that the random model must be ahead by.
 THRESHOLD = 0.4
 #: Labelled rows of each class that ``labelled_samples`` makes: the documented bound of what the models are fitted on.
@@ -38,21 +44,34 @@ _STEMS = (
 ).split()
 
 
+#: Runs in the order of an alphabet or a keyboard: anything but random, though no words either.
+_RUNS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789", "12345678901234567890", "qwertyuiopasdfghjklzxcvbnm", "zyxwvutsrqponmlkjihgfedcba", "98765432109876543210", "abcdef0123456789abcdef")
+
+
 def labelled_samples(spark: SparkSession, per_class: int = SAMPLES_PER_CLASS) -> DataFrame:
-    """(text, random): digests in several alphabets against identifiers put together from ordinary words."""
+    """(text, random): digests in several alphabets, bare and behind a prefix, against identifiers put together from ordinary
+    words, paths, dates, versions and runs of an alphabet."""
     i = F.col("id")
-    digest = F.unhex(F.sha2(i.cast("string"), 256))
-    random = F.when(i % 3 == 0, F.substring(F.base64(digest), 1, 40)).when(i % 3 == 1, F.lower(F.substring(F.hex(digest), 1, 40))).otherwise(
-        F.substring(F.translate(F.base64(digest), "+/=", "xYz"), 1, 32)
-    )
-    stems = F.array(*[F.lit(x) for x in _STEMS])
-    n = len(_STEMS)
-    a, b, c = (F.element_at(stems, (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)) + 1).cast("int")) for k in (1, 2, 3))
-    plain = F.when(i % 3 == 0, F.concat_ws("_", a, b, c, (i % 100).cast("string"))).when(
-        i % 3 == 1, F.concat(a, F.initcap(b), F.initcap(c), (i % 10).cast("string"))
-    ).otherwise(F.concat(a, F.lit("-"), b, F.lit("/"), c, F.lit("/"), (2000 + i % 30).cast("string")))
+    digest = F.unhex(F.concat(F.sha2(i.cast("string"), 256), F.sha2(F.concat(i.cast("string"), F.lit("b")), 256)))
+    kinds = [
+        F.substring(F.base64(digest), 1, 40), F.lower(F.substring(F.hex(digest), 1, 40)), F.substring(F.translate(F.base64(digest), "+/=", "xYz"), 1, 32),
+        F.substring(F.hex(digest), 1, 32), F.concat(F.lit("sk_live_"), F.substring(F.translate(F.base64(digest), "+/=", "9aZ"), 3, 28)),
+        F.concat(F.lit("ghp_"), F.substring(F.translate(F.base64(digest), "+/=", "q0R"), 5, 36)), F.substring(F.translate(F.base64(digest), "+/", "-_"), 7, 43),
+    ]
+    stems, runs = (F.array(*[F.lit(x) for x in words]) for words in (_STEMS, _RUNS))
+    pick = lambda words, n, k: F.element_at(words, (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)) + 1).cast("int"))
+    a, b, c = (pick(stems, len(_STEMS), k) for k in (1, 2, 3))
+    part = lambda k: F.substr(pick(runs, len(_RUNS), k), F.pmod(F.xxhash64(i, F.lit(k + 1)), F.lit(6)).cast("int") + 1, F.lit(16))
+    day = F.date_add(F.lit("2019-01-01").cast("date"), F.pmod(F.xxhash64(i), F.lit(2500)).cast("int"))
+    plain = [
+        F.concat_ws("_", a, b, c, (i % 100).cast("string")), F.concat(a, F.initcap(b), F.initcap(c), (i % 10).cast("string")),
+        F.concat(a, F.lit("-"), b, F.lit("/"), c, F.lit("/"), (2000 + i % 30).cast("string")), F.concat(F.upper(a), F.lit("_"), F.upper(b), F.lit("_"), F.upper(c), (i % 10).cast("string")),
+        F.concat(part(10), part(20)), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("_"), a, F.lit("_"), b, F.lit("-v"), (i % 10).cast("string"), F.lit("-"), (i % 7).cast("string")),
+        F.concat(a, b, c, (i % 1000).cast("string")),
+    ]
+    choose = lambda xs: F.element_at(F.array(*xs), (i % len(xs) + 1).cast("int"))
     ids = spark.range(per_class)
-    return ids.select(random.alias("text"), F.lit(True).alias("random")).union(ids.select(plain.alias("text"), F.lit(False).alias("random")))
+    return ids.select(choose(kinds).alias("text"), F.lit(True).alias("random")).union(ids.select(choose(plain).alias("text"), F.lit(False).alias("random")))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
@@ -77,18 +96,25 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
     return (p[1] - p[0]).ravel()
 
 
-def _prefix_sums(x: Column) -> Column:
-    """Sums of the elements before each element, in blocks of 64."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
+def _before(x: Column, depth: int, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What the elements before each element add up to (by ``op``), in blocks of 64, whose totals are added up likewise."""
+    total = lambda a: F.aggregate(a, start, op)
     blocks = lambda p: F.transform(F.sequence(F.lit(0), (F.size(p) / 64).cast("int")), lambda b: total(F.slice(p, b * 64 + 1, 64)))
 
-    def with_blocks(p: Column) -> Column:
-        return F.transform(
-            F.array(blocks(p)),
-            lambda bs: F.transform(p, lambda _, k: total(F.slice(bs, 1, (k / 64).cast("int"))) + total(F.slice(p, (k / 64).cast("int") * 64 + 1, k % 64))),
-        )[0]
+    def each(p: Column, bs: Column | None) -> Column:
+        if bs is None:
+            return F.transform(p, lambda _, k: total(F.slice(p, 1, k)))
+        return F.transform(p, lambda _, k: op(F.get(bs, (k / 64).cast("int")), total(F.slice(p, (k / 64).cast("int") * 64 + 1, k % 64))))
+
+    # one-element arrays bind a value once
+    if depth == 0:
+        return F.transform(F.array(x), lambda p: each(p, None))[0]
+    return F.transform(F.array(x), lambda p: F.transform(F.array(_before(blocks(p), depth - 1, start, op)), lambda bs: each(p, bs))[0])[0]
+
 
-    return F.transform(F.array(x), with_blocks)[0]
+def _prefix_sums(x: Column) -> Column:
+    """Sums of the elements before each element."""
+    return _before(x, 2, F.lit(0), lambda s, v: s + v)
 
 
 def _find(text: Column, pattern: str) -> Column:
@@ -115,7 +141,7 @@ def _find(text: Column, pattern: str) -> Column:
 
 def _llr(token: Column, model: np.ndarray) -> Column:
     """Mean log-likelihood ratio per bigram."""
-    weights = F.lit(model)
+    weights = F.split(F.lit(",".join(map(repr, model.tolist()))), ",").cast("array<double>")  # one literal: the optimizer folds it
 
     def score(c: Column) -> Column:
         at = lambda k: F.get(c, k)
@@ -170,7 +196,11 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, model: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, counts of the fixed kinds, digest of the fixed spans, all spans as text."""
+    """Per row: key (as ``doc_id``), counts of the fixed kinds, digest of the fixed spans, all spans as text.
+
+    A null or empty text has no spans; texts of any length are scanned whole; repeated rows are reported each; a null key stays
+    null; an empty table gives an empty table; other columns play no part.
+    """
     s = _scanned(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), model, "text", THRESHOLD)
     spans = F.col("_spans")
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
@@ -187,24 +217,30 @@ def report(docs: DataFrame, model: np.ndarray, key: str = "doc_id", text: str =
 def redact(docs: DataFrame, model: np.ndarray, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mask``; overlapping spans are replaced together.
 
-    Rows without a span come out unchanged (a null text stays null); no row is dropped.
+    Rows without a span come out unchanged (a null or empty text stays as it is); no row is dropped, repeated rows are masked each.
+    Texts of any length are masked whole, an empty table gives an empty table, and all other columns pass through, whatever their
+    names and types.
     """
     s = _scanned(docs, model, text, THRESHOLD)
-    merged = F.aggregate(
-        F.col("_spans"),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > x["start"]), F.concat(
-            F.slice(a, 1, F.size(a) - 1),
-            F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], x["end"]).alias("end"))),
-        )).otherwise(F.concat(a, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
-    )
-    t = F.col("_text")
-
-    def rebuilt(m: Column) -> Column:
-        pieces = F.transform(
-            m, lambda x, k: F.concat(F.substr(t, F.coalesce(F.get(m, k - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(m, k - 1)["end"], F.lit(0))), F.lit(mask))
-        )
-        return F.concat(F.array_join(pieces, ""), F.substr(t, F.try_element_at(m, F.lit(-1))["end"] + 1))
-
-    new = F.when(F.size("_spans") == 0, F.col("_row").getField(text)).otherwise(F.transform(F.array(merged), rebuilt)[0])
+    spans = F.col("_spans")
+    reach = _before(F.transform(spans, lambda x: x["end"]), 2, F.lit(0), lambda s, v: F.greatest(s, v))  # of the spans before each
+    def merged(r: Column) -> Column:
+        heads = F.filter(F.transform(spans, lambda x, k: F.struct(x["start"].alias("start"), F.get(r, k).alias("reach"))), lambda x: x["start"] >= x["reach"])
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.transform(F.array(heads), lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), F.coalesce(F.get(h, k + 1)["reach"], last).alias("end"))))[0]
+
+    # a stretch of the text is cut out of the few blocks that hold it
+    blocks = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s).{{1,{SIGNS}}}"), F.lit(0))
+
+    def rebuilt(m: Column, bs: Column) -> Column:
+        def stretch(a: Column, z: Column) -> Column:
+            first = (a / SIGNS).cast("int")
+            return F.substr(F.array_join(F.slice(bs, first + 1, (z / SIGNS).cast("int") - first + 1), ""), a % SIGNS + 1, z - a)
+
+        end = lambda k: F.coalesce(F.get(m, k)["end"], F.lit(0))
+        pieces = F.transform(m, lambda x, k: F.concat(stretch(end(k - 1), x["start"]), F.lit(mask)))
+        return F.concat(F.array_join(pieces, ""), stretch(end(F.size(m) - 1), F.char_length("_text")))
+
+    masked = F.transform(F.arrays_zip(F.array(F.transform(F.array(reach), merged)[0]).alias("m"), F.array(blocks).alias("b")), lambda z: rebuilt(z["m"], z["b"]))[0]
+    new = F.when(F.size("_spans") == 0, F.col("_row").getField(text)).otherwise(masked)
     return s.select(*[(new if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])

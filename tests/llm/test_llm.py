@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -349,6 +350,47 @@ def test_models_on_held_out_samples(spark):
     assert not any(r[0] for r in words.select(secrets_scan._llr(F.col("text"), m) > secrets_scan.THRESHOLD).collect())
 
 
+def test_models_on_other_words(spark, model):
+    """Words of the corpus and names of the standard library, put together and numbered, against random strings of other alphabets."""
+    r = random.Random(4)
+    names = sorted({x for mod in (os, re, pa, np, io, functools, itertools) for x in dir(mod) if len(x) > 5})
+    words = sorted({w for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in re.findall("[a-z]{5,}", x.text or "")})
+    plain = [f"{r.choice(names)}_{r.choice(names)}{r.randint(0, 99)}" for _ in range(800)] + ["".join(r.sample(words, 3)) + str(r.randint(0, 999)) for _ in range(800)]
+    signs = string.ascii_letters + string.digits
+    odd = ["".join(r.choice(signs) for _ in range(r.randint(20, 40))) for _ in range(800)] + ["AIza" + "".join(r.choice(signs + "-_") for _ in range(35)) for _ in range(400)]
+    said = spark.createDataFrame([(x, False) for x in plain] + [(x, True) for x in odd], "text string, random boolean").select("random", (secrets_scan._llr(F.col("text"), model) > secrets_scan.THRESHOLD).alias("said"))
+    right = {x.random: x.right for x in said.groupBy("random").agg(F.avg((F.col("random") == F.col("said")).cast("int")).alias("right")).collect()}
+    assert right[False] > 0.98 and right[True] > 0.99
+    harmless = ["550e8400-e29b-41d4-a716-446655440000", "abcdefghijklmnopqrstuvwxyz1234567890", "qwertyuiop1234567890asdf", "com/example/project/v1/UserServiceImpl2"]
+    assert secrets_scan.report(spark.createDataFrame([(1, " ".join(harmless))], "doc_id long, text string"), model).first().spans == ""
+
+
+def test_random_spans_like_plain_python(spark, model):
+    """Planted tokens: the spans of kind ``random`` against the model applied in plain Python."""
+    r, signs = random.Random(9), string.ascii_letters + string.digits
+    make = [
+        lambda: "".join(r.choice(signs) for _ in range(r.randint(15, 45))), lambda: "user_name_table_index_12", lambda: "é" * r.randint(0, 9), lambda: "token=" + "".join(r.choice(signs) for _ in range(30)),
+        lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: "550e8400-e29b-41d4-a716-446655440000", lambda: "a/b-" + "".join(r.choice(signs) for _ in range(20)), lambda: "word",
+    ]
+    rows = [(i, " ".join(r.choice(make)() for _ in range(r.randint(0, 60)))) for i in range(150)] + [(150, None), (151, "")]
+    weights = model.reshape(128, 128)
+    found = 0
+    for x in secrets_scan.report(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        t = rows[x.doc_id][1] or ""
+        base, want = brute.secrets(t), set()
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+            w = m[0]
+            if not re.search("[0-9]", w) or not re.search("[A-Za-z]", w) or re.fullmatch("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", w):
+                continue
+            mean = sum(weights[ord(p), ord(q)] for p, q in itertools.pairwise(w)) / (len(w) - 1)
+            if mean > secrets_scan.THRESHOLD and not any(a < m.end() and m.start() < z for a, _, z in base):
+                want.add((m.start(), m.end()))
+        got = {(int(a), int(z)) for k, a, z in (y.split(":") for y in x.spans.split(",") if y) if k == "random"}
+        assert got == want
+        found += len(got)
+    assert found > 300
+
+
 # ---- 7 -------------------------------------------------------------------------------------------------------------
 def chat_want(rows):
     by = {}
