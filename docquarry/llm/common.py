@@ -44,7 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(base)
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/docquarry-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/docquarry-{uuid.uuid4().hex}"
+    spark.sparkContext._docquarry_folders = [*getattr(spark.sparkContext, "_docquarry_folders", []), folder]
+    return folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all intermediate tables that this session's operators wrote, and say how many folders that were.
+
+    Results are computed from these tables when they are asked for, so call it only when all results have been written.
+    """
+    folders = getattr(spark.sparkContext, "_docquarry_folders", [])
+    for f in folders:
+        remove(spark, f)
+    spark.sparkContext._docquarry_folders = []
+    return len(folders)
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

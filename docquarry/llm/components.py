@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import written
+from docquarry.llm.common import remove, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,8 +17,8 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
     """(v, m): m is the smallest node that v reaches; only nodes other than m itself have a row.
 
     ``edges``: columns a, b (long, not null). Each step is a grouped minimum and a join, so a node with very many edges is
-    pre-aggregated and its join can be split; steps are written to the shared folder, and their number grows with the
-    logarithm of the longest path.
+    pre-aggregated and its join can be split. Steps are written to the shared folder, each removed when the next one is there;
+    their number grows with the logarithm of the longest path. No edges, no rows; repeated edges and loops count for nothing.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), folder, f"{name}-0"
@@ -38,6 +38,7 @@ def components(edges: DataFrame, folder: str, name: str = "components") -> DataF
         step += 1
         now = written(small, folder, f"{name}-{step}")
         after = _state(now)
+        remove(edges.sparkSession, f"{folder}/{name}-{step - 1}")  # superseded: the next step reads what was written last
         if after == state:
             break
         state = after

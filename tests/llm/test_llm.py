@@ -84,13 +84,44 @@ def test_join_like_brute_force(spark):
 def test_every_boundary_finds_the_same(spark):
     rows = [r for r in sets_rows() if r[1] and 5 <= len(r[1].split()) <= 40][:150]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    sizes = ngram_join._digest(d).select(F.col("doc_id").alias("doc"), "n")
+    sizes = ngram_join._digest(d).select(F.col("doc_id").alias("doc"), "n", F.lit(1).alias("copies"))
     unique = d.join(ngram_join._digest(d).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi")
-    e = ngram_join._entries(unique, sizes, 80).cache()
-    found = [{tuple(x) for x in ngram_join.links(e, ngram_join.candidates(e, 80, light), 80).collect()} for light in (0, 10, 64)]
+    frequent = ngram_join._frequent(unique, len(rows), shared_dir(spark))
+    e = ngram_join.bucketed(ngram_join._entries(unique, sizes, 80, frequent)).cache()
+    found = []
+    for light in (0, 10, 64):
+        met = ngram_join.candidates(e, 80, light)
+        assert met.groupBy("a", "b").count().where("count > 1").isEmpty()  # each pair once
+        found.append({(p.a, p.b) for x in ngram_join.links(e, ngram_join.gathered(met), 80).collect() for p in x.links})
     assert found[0] == found[1] == found[2] and found[0]
 
 
+def test_join_hot_shingle_and_near_copies(spark, monkeypatch):
+    """One shingle in 30,000 documents, and 1,500 near copies: no links lost, few rows kept."""
+    kept = {}
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, folder, name: kept.setdefault(name, real(df, folder, name).persist()))
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 5000)
+    i = F.col("id")
+    word = lambda k: F.concat(F.lit("w"), F.hex(F.xxhash64(i, F.lit(k))))
+    hot = spark.range(30_000).select(i.alias("doc_id"), F.concat_ws(" ", F.lit("all of them say this"), *[word(k) for k in range(12)]).alias("text"))
+    base = " ".join(f"b{k}" for k in range(64))
+    near = spark.range(100_000, 101_500).select(i.alias("doc_id"), F.concat_ws(" ", F.lit(base), word(1), word(2)).alias("text"))
+    out = ngram_join.jaccard_join(hot.union(near)).groupBy("n_similar", F.col("doc_id") >= 100_000, "component_id").count().where("n_similar > 0 or component_id = 100000").collect()
+    assert [tuple(r) for r in out] == [(1499, True, 100_000, 1500)]
+    assert kept["frequent"].count() >= 1 and kept["links"].where("kind = 0").count() == 1500
+    assert kept["links"].where("kind = 1").count() < 1500 * 40  # of 1,124,250 links
+
+
+def test_join_long_text(spark):
+    """A text of 60,000 words and a near copy of it."""
+    r = random.Random(1)
+    ws = [f"w{r.randrange(40_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(ws)), (2, " ".join(ws[:-500] + ["x"] * 700)), (3, " ".join(ws[:30_000]))]
+    out = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.n_similar, x.component_id) for x in out} == brute.jaccard(rows)
+
+
 def test_join_odd_rows(spark):
     t = "one two three four five six seven eight"
     d = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (3, "z"), (3, t)], "doc_id long, text string")
