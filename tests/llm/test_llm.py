@@ -662,6 +662,31 @@ def test_pipeline_like_brute_force(spark, tmp_path, model):
     assert left and check_packing(out, {i: [*enc(t).ids, 0] for i, t in left.items()}, 2048)
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Repeated and null ids, a map column, and no rows at all."""
+    filler = " ".join(f"the{k % 7} of{k % 11} and{k % 13}" for k in range(40)) + " the of and to in"
+    text = lambda i: f"{filler} number {i} " + " ".join(f"x{i}y{j}" for j in range(60))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, text(2) + " end"), (3, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (5, text(4) + " end"), (6, None), (7, "short"), (8, text(8)), (8, text(9))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, more map<string,int>, key int, id string"
+    d = spark.createDataFrame([(*r, "en", f"s{k}", 1, {"a": k}, 7, "x") for k, r in enumerate(rows)], schema)
+    kept = corpus_pipeline.quality_stage(spark, d, "").select(*d.columns)
+    assert kept.count() == 11
+    left = corpus_pipeline.near_duplicate_stage(spark, kept, "")
+    assert left.columns == d.columns
+    # texts 1; 2 (of id 2, which has its id to itself), 3, 4 (of id 5), 8 and 9
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, text(1)), (2, text(2) + " end"), (3, text(3)), (5, text(4) + " end"), (8, text(8)), (8, text(9))])
+    assert all(r.more and r.key == 7 for r in left.collect())
+    hidden = corpus_pipeline.secrets_stage(spark, d.withColumn("text", F.concat("text", F.lit(" token=abcdef123"))), "").collect()
+    assert len(hidden) == 13 and all(r.text is None and r.n_chars == 1 or r.text.endswith(" [secret]") and r.n_chars == len(r.text) for r in hidden)
+    # the same again, each stage's table read by the next
+    d.coalesce(1).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").where("piece = 0").collect()) == [1, 2, 3, 5, 8, 8]
+    d.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_oracle(spark, name):
     import duckdb
