@@ -6,17 +6,18 @@ import datetime as dt
 import time
 import uuid
 from collections import Counter
+from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.errors import UserError
 from docquarry.mapping import Mapping
 from docquarry.models import Models
 from docquarry.operators import aggs, filters, rag, suggest
-from docquarry.operators.retrieve import lexical_terms, terms_column, vector_column
+from docquarry.operators.retrieve import Postings, length_column, lexical_terms, vector_column
 from docquarry.plans import dsl
 from docquarry.plans.search import Search, corpus_of
 from docquarry.sources import store
@@ -44,6 +45,11 @@ def _embedding(model: Any):
     return embed
 
 
+def _totals(length: Column) -> list[Column]:
+    """Documents that have terms, and how many terms."""
+    return [F.count_if(length > 0), F.sum(length)]
+
+
 class Index:
     """One index in a folder that all executors share. Changes are staged and become visible with ``flush``."""
 
@@ -56,20 +62,25 @@ class Index:
         self.manifest = self.client.manifest()
         self.mapping = self.manifest.mapping.migrate(mapping) if self.manifest else mapping
         self.pending: list[tuple[str, Any]] = []
+        self.pending_folders: list[str] = []
         self.metrics: Counter = Counter()
 
     # ---- documents -------------------------------------------------------------------------------------------------
+    def _empty(self) -> DataFrame:
+        schema = self.mapping.to_struct_type([n for n, f in self.mapping.fields.items() if not f.wildcard and "." not in n])
+        empty = self.spark.createDataFrame([], schema).withColumn("_seq", F.lit(0).cast("long"))
+        for f in self.mapping.fields.values():
+            if f.semantic is not None and not f.wildcard:
+                empty = empty.withColumn(vector_column(f.name), F.lit(None).cast("array<array<float>>" if f.is_list else "array<float>"))
+        return empty
+
     def docs(self) -> DataFrame:
-        """The current version's documents."""
-        m = self.manifest
-        if m is None or not m.files:
-            schema = self.mapping.to_struct_type([n for n, f in self.mapping.fields.items() if not f.wildcard and "." not in n])
-            empty = self.spark.createDataFrame([], schema).withColumn("_seq", F.lit(0).cast("long"))
-            for f in self.mapping.fields.values():
-                if f.semantic is not None and not f.wildcard:
-                    empty = empty.withColumn(vector_column(f.name), F.lit(None).cast("array<array<float>>" if f.is_list else "array<float>"))
+        """The current version's documents; fields that none of them has yet are null."""
+        m, empty = self.manifest, self._empty()
+        if m is None or not m.segments:
             return empty
-        return self.spark.read.parquet(f"{self.client.root}/v={m.seqnum}")
+        docs = store.documents(self.client, m)
+        return docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty.schema if f.name not in docs.columns})
 
     def add(self, docs: list[dict]) -> None:
         """Stage documents given as dicts; later ones replace earlier ones with the same id."""
@@ -77,11 +88,14 @@ class Index:
             self.add_documents(documents(payload_lines(self.spark, docs), self.mapping))
 
     def add_files(self, location: str | dict, recursive: bool = False) -> None:
+        """Stage documents of files. Of those with the same id the last one counts: by path, then by place in the file."""
         self.add_documents(read_files(self.spark, location, self.mapping, recursive))
 
     def add_documents(self, docs: DataFrame) -> None:
+        """Stage documents; ``_order``, where there is such a column, says which come later, else the rows' order does."""
         path = f"{self.client.root}/_staging/{uuid.uuid4().hex}"
-        docs.withColumn("_seq", F.monotonically_increasing_id()).write.parquet(path)
+        order = F.monotonically_increasing_id()
+        docs.withColumn("_order", F.struct(F.col("_order"), order) if "_order" in docs.columns else order).write.parquet(path)
         self.pending.append(("add", path))
 
     def delete(self, ids: list[str] | None = None, where: dict | None = None) -> None:
@@ -96,47 +110,119 @@ class Index:
         """The last batch of a stream that is in the index; -1: none."""
         return self.manifest.batches.get(name, -1) if self.manifest else -1
 
-    def flush(self, batch: tuple[str, int] | None = None, files: int | None = None, force: bool = False) -> int:
-        """Apply what is staged as a new version; how many documents the index gained (or lost)."""
-        if not self.pending and batch is None and not force:
+    def flush(self, batch: tuple[str, int] | None = None) -> int:
+        """Apply what is staged as a new version; how many documents the index gained (or lost).
+
+        Only new documents and the numbers of replaced or deleted ones are written; of old documents only what finds them is
+        read (ids, or a filter's fields). Then segments are merged as the index's policy says.
+        """
+        if not self.pending and batch is None:
             return 0
-        before = self.manifest
-        docs, next_seq = self.docs(), before.next_seq if before else 0
-        old = docs.count()
+        old = self.manifest
+        m = store.Manifest(self.mapping, old.seqnum + 1 if old else 1, next_seq=old.next_seq if old else 0, batches=(old.batches if old else {}) | ({batch[0]: batch[1]} if batch else {}))
+        m.segments, m.deletions, m.deleted = (list(old.segments), list(old.deletions), old.deleted) if old else ([], [], 0)
+        m.totals = {k: list(v) for k, v in old.totals.items()} if old else {}
+        live, fresh, gone = self.docs(), None, []
         for kind, x in self.pending:
             if kind == "add":
-                fresh = self.spark.read.parquet(x)
-                top = fresh.agg(F.max("_seq")).first()[0]
-                if top is None:
-                    continue
-                fresh = fresh.withColumn("_seq", F.col("_seq") + next_seq)
-                next_seq += top + 1
-                whole = F.struct(*[F.col(f"`{c}`") for c in fresh.columns])
-                last = fresh.groupBy("_id").agg(F.max_by(whole, "_seq").alias("d")).select("d.*")
-                docs = docs.join(last.select("_id"), "_id", "left_anti").unionByName(last, allowMissingColumns=True)
-            elif kind == "ids":
-                docs = docs.where(~F.col("_id").isin(x))
+                staged = self.spark.read.parquet(x)
+                whole = F.struct(*[F.col(f"`{c}`") for c in staged.columns])
+                last = staged.groupBy("_id").agg(F.max_by(whole, "_order").alias("d")).select("d.*")
+                if old and old.segments:
+                    gone.append(live.join(last.select("_id"), "_id", "left_semi"))
+                last = self._numbered(last, m)
+                fresh = last if fresh is None else fresh.join(last.select("_id"), "_id", "left_anti").unionByName(last, allowMissingColumns=True)
             else:
-                docs = docs.where(F.lit(False)) if x is None else docs.where(~x)
-        docs = self._analysed(self._embedded(docs))
-        batches = (before.batches if before else {}) | ({batch[0]: batch[1]} if batch else {})
-        self.manifest = store.commit(self.client, docs, self.mapping, before.seqnum + 1 if before else 1, next_seq, batches, files)
+                hit = F.col("_id").isin(x) if kind == "ids" else F.lit(True) if x is None else x
+                if old and old.segments:
+                    gone.append(live.where(hit))
+                if fresh is not None:
+                    known = self._empty().schema
+                    fresh = fresh.withColumns({f.name: F.lit(None).cast(f.dataType) for f in known if f.name not in fresh.columns}).where(~hit)
+        if gone:
+            self._delete(m, gone)
+        if fresh is not None:
+            self._append(m, fresh)
+        self._publish(store.listed(self.client, m, old))
         for kind, x in self.pending:
             if kind == "add":
                 self.client.delete(x.removeprefix(self.client.root + "/"))
         self.pending = []
+        chosen = store.to_merge(self.manifest, self._merge_policy())
+        if chosen:
+            self._merge(chosen, None)
         store.sweep(self.client)
         self.metrics["flushes"] += 1
-        return self.docs().count() - old
-
-    def _analysed(self, docs: DataFrame) -> DataFrame:
-        """Terms of lexical fields are kept beside the texts; fields whose terms are there keep them."""
-        for name in docs.columns:
-            f = self.mapping.resolve(name) if not name.startswith("_") and "__" not in name else None
-            if f is not None and f.lexical:
-                stored, fresh = terms_column(name), lexical_terms(self.mapping, name)
-                docs = docs.withColumn(stored, F.coalesce(F.col(f"`{stored}`"), fresh) if stored in docs.columns else fresh)
-        return docs
+        return m.docs - (old.docs if old else 0)
+
+    def _numbered(self, docs: DataFrame, m: store.Manifest) -> DataFrame:
+        """``_seq`` in the order of arrival, above all numbers so far."""
+        path = f"{self.client.root}/_staging/{uuid.uuid4().hex}"
+        docs.orderBy("_order").drop("_order").withColumn("_seq", F.monotonically_increasing_id() + m.next_seq).write.parquet(path)
+        out = self.spark.read.parquet(path)
+        self.pending_folders.append(path)
+        m.next_seq = max(m.next_seq, (out.agg(F.max("_seq")).first()[0] or 0) + 1)
+        return out
+
+    def _delete(self, m: store.Manifest, gone: list[DataFrame]) -> None:
+        """A list of deleted rows, if there are any; the totals lose what these had."""
+        names = [n for n in m.totals if all(length_column(n) in g.columns for g in gone)]
+        rows = reduce(DataFrame.union, [g.select("_seq", *[F.col(f"`{length_column(n)}`") for n in names]) for g in gone]).distinct()
+        name = f"del-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.client.root}/{name}")
+        r = self.spark.read.schema(rows.schema).parquet(f"{self.client.root}/{name}").agg(F.count("*"), *[x for n in names for x in _totals(F.col(f"`{length_column(n)}`"))]).first()
+        if r[0]:
+            m.deletions.append(name)
+            m.deleted += r[0]
+            for i, n in enumerate(names):
+                m.totals[n] = [m.totals[n][0] - r[1 + 2 * i], m.totals[n][1] - (r[2 + 2 * i] or 0)]
+        else:
+            self.client.delete(name)
+
+    def _append(self, m: store.Manifest, fresh: DataFrame) -> None:
+        """A segment of new documents with postings of their lexical fields."""
+        docs = self._embedded(fresh)
+        lexical = [n for n in docs.columns if not n.startswith("_") and "__" not in n and (f := self.mapping.resolve(n)) is not None and f.lexical]
+        terms = None
+        if lexical:
+            each = F.array(*[F.struct(F.lit(n).alias("field"), lexical_terms(self.mapping, n).alias("terms")) for n in lexical])
+            analysed = docs.select("_seq", F.explode(each).alias("x")).select("_seq", "x.field", "x.terms", F.size("x.terms").cast("long").alias("n")).where("n > 0")
+            staged = f"{self.client.root}/_staging/{uuid.uuid4().hex}"  # texts are analysed once, for lengths and postings
+            analysed.write.parquet(staged)
+            self.pending_folders.append(staged)
+            analysed = self.spark.read.schema(analysed.schema).parquet(staged)
+            lengths = analysed.groupBy("_seq").agg(*[F.max(F.when(F.col("field") == n, F.col("n"))).alias(length_column(n)) for n in lexical])
+            docs = docs.join(lengths, "_seq", "left")
+            terms = analysed.select("field", F.explode("terms").alias("term"), "_seq", "n").groupBy("field", "term", "_seq", "n").agg(F.count("*").alias("tf")).select(*store.POSTINGS.names)
+            for r in analysed.groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).collect():  # a row for each field
+                had = m.totals.get(r["field"], [0, 0])
+                m.totals[r["field"]] = [had[0] + r["docs"], had[1] + r["terms"]]
+        segment = store.write_segment(self.client, docs, terms)
+        if segment.docs:
+            m.segments.append(segment)
+        else:
+            self.client.delete(segment.name)
+
+    def _merge_policy(self) -> dict | str | None:
+        return (self.mapping.config.get("indexer") or {}).get("merge_policy")
+
+    def _publish(self, m: store.Manifest) -> None:
+        self.client.publish(m)
+        self.manifest = m
+        for path in self.pending_folders:
+            self.client.delete(path.removeprefix(self.client.root + "/"))
+        self.pending_folders = []
+
+    def _merge(self, segments: list[store.Segment], files: int | None) -> None:
+        """Some segments as one; deletion lists go when all segments are merged."""
+        old = self.manifest
+        rest = [s for s in old.segments if s not in segments]
+        one = store.write_segment(self.client, store.documents(self.client, old, segments), store.postings(self.client, old, segments), files)
+        m = store.Manifest(self.mapping, old.seqnum + 1, next_seq=old.next_seq, batches=old.batches, totals=old.totals, segments=rest + [one] * (one.docs > 0))
+        if rest:
+            m.deletions, m.deleted = old.deletions, old.deleted - (sum(s.docs for s in segments) - one.docs)
+        self._publish(store.listed(self.client, m, old))
+        self.metrics["merges"] += 1
 
     def _embedded(self, docs: DataFrame) -> DataFrame:
         """Vectors of semantic fields that came without; each distinct text is embedded once."""
@@ -159,15 +245,18 @@ class Index:
         return docs
 
     def merge(self, files: int | None = None) -> None:
-        """Rewrite the current version as so many files, or as many as the merge policy says."""
+        """Rewrite the current version as one segment of so many files, or as many as the merge policy says."""
         m = self.manifest
-        if m is not None:
-            n = files or store.merge_files(sum(f.size for f in m.files), self.docs().count(), (self.mapping.config.get("indexer") or {}).get("merge_policy")) or 1
-            self.flush(files=n, force=True)
+        if m is not None and m.segments:
+            self._merge(m.segments, files or store.merge_files(sum(f.size for f in m.files), m.docs, self._merge_policy()) or 1)
+            store.sweep(self.client)
 
     # ---- requests --------------------------------------------------------------------------------------------------
     def corpus(self):
-        return corpus_of(self.docs(), self.mapping, self.models)
+        """The current version with its postings and totals."""
+        m = self.manifest
+        indexed = Postings(store.postings(self.client, m), {k: tuple(v) for k, v in m.totals.items()}) if m and m.segments else None
+        return corpus_of(self.docs(), self.mapping, self.models, indexed)
 
     def plan(self, request: dict | None) -> Search:
         return Search(self.corpus(), dsl.parse_search(request), self.models)
@@ -206,7 +295,7 @@ class Index:
         docs, m = self.docs(), self.manifest
         names = [c for c in docs.columns if not c.startswith("_") and "__" not in c]
         r = docs.agg(F.count("*").alias("_n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in names]).first().asDict()
-        return {"version": m.seqnum if m else 0, "segments": [vars(f) for f in m.files] if m else [], "docs": r.pop("_n"), "fields": r}
+        return {"version": m.seqnum if m else 0, "segments": [{"name": x.name, "docs": x.docs, "size": x.size} for x in m.segments] if m else [], "files": [vars(f) for f in m.files] if m else [], "deleted": m.deleted if m else 0, "docs": r.pop("_n"), "fields": r}
 
     def replicate(self, root: str) -> list[tuple[str, str]]:
         """Bring a copy of the index elsewhere up to date."""

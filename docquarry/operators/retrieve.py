@@ -36,6 +36,22 @@ def vector_column(name: str) -> str:
     return f"{name}__vec"
 
 
+def length_column(name: str) -> str:
+    return f"{name}__len"
+
+
+@dataclass
+class Postings:
+    """An index's postings (field, term, _seq, tf, n), sorted by field and term, and each field's documents and terms."""
+
+    rows: DataFrame
+    totals: dict[str, tuple[int, int]]
+
+    def of(self, wanted: dict[str, list[str]]) -> DataFrame:
+        """Postings of some terms: conditions that pick the row groups which hold them."""
+        return self.rows.where(reduce(or_, [(F.col("field") == f) & F.col("term").isin(t) for f, t in wanted.items()]))
+
+
 @dataclass
 class FieldStats:
     """Of one field: documents that have it, their terms in all, documents by term (query terms only)."""
@@ -54,6 +70,7 @@ class Corpus:
     present: list[str]
     embed: Callable[[str, str], list[float]] | None = None
     cache: dict[str, FieldStats] = field(default_factory=dict)
+    postings: Postings | None = None
 
     def terms(self, name: str) -> Column:
         stored = terms_column(name)
@@ -65,6 +82,13 @@ class Corpus:
         todo = {f: t for f, t in todo.items() if t or f not in self.cache}
         if not todo:
             return
+        if self.postings is not None:
+            for f in todo:
+                self.cache.setdefault(f, FieldStats(*self.postings.totals.get(f, (0, 0)))).df.update(dict.fromkeys(todo[f], 0))
+            asked = {f: t for f, t in todo.items() if t}
+            for r in self.postings.of(asked).groupBy("field", "term").count().collect() if asked else []:  # at most a row for each term of the query
+                self.cache[r["field"]].df[r["term"]] = r["count"]
+            return
         names = list(todo)
         staged = self.docs.select(*[self.terms(f).alias(f"t{i}") for i, f in enumerate(names)])
         aggs = []
@@ -143,7 +167,18 @@ class Compiler:
         return self.docs, hit, score
 
     def _frequencies(self, name: str, terms: list[str]) -> None:
-        """A column with the document's length and the frequencies of the query's terms: each text is analysed once."""
+        """A column with the document's length and the frequencies of the query's terms: each text is analysed once, or none where
+        there are postings."""
+        if self.corpus.postings is not None:
+            key = f"_tf_{len(self.added)}"
+            if terms:
+                of = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(f"{key}_{i}") for i, w in enumerate(terms)]
+                found = self.corpus.postings.of({name: terms}).groupBy("_seq").agg(F.max("n").alias(f"{key}_n"), *of)
+                self.docs = self.docs.join(found, "_seq", "left")
+            for i, w in enumerate(terms):
+                self.added[name, w] = f"coalesce({key}_{i}, 0)"
+            self.added[name, None] = f"coalesce({key}_n, 0)"
+            return
         t, key = self.corpus.terms(name), f"_tf_{len(self.added)}"
         staged = self.docs.withColumn("_terms", t)
         times = lambda w: F.size(F.filter("_terms", lambda x: x == w))

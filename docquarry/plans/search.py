@@ -13,17 +13,17 @@ from docquarry.mapping import Mapping
 from docquarry.models import Models
 from docquarry.operators import filters as flt
 from docquarry.operators import rerank, sorting
-from docquarry.operators.retrieve import Compiler, Corpus, nearest
+from docquarry.operators.retrieve import Compiler, Corpus, Postings, nearest
 from docquarry.plans import dsl
 
 
-def corpus_of(docs: DataFrame, mapping: Mapping, models: Models | None = None) -> Corpus:
+def corpus_of(docs: DataFrame, mapping: Mapping, models: Models | None = None, postings: Postings | None = None) -> Corpus:
     """A searchable corpus. ``docs``: ``_id``, the mapping's fields and, for insertion order, ``_seq`` (else the id's order)."""
     if "_seq" not in docs.columns:
         docs = docs.withColumn("_seq", F.col("_id"))
     present = [c for c in docs.columns if not c.startswith("_") and "__" not in c]
     embed = None if models is None else lambda model, text: models.get("embedding", model).embed([text], "query")[0].tolist()
-    return Corpus(docs, mapping, present, embed)
+    return Corpus(docs, mapping, present, embed, postings=postings)
 
 
 class Search:

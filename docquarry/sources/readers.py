@@ -78,7 +78,7 @@ def decode_payload(raw: bytes) -> list[dict]:
 
 
 def _lines(spark: SparkSession, url: Url, recursive: bool) -> DataFrame:
-    """(value): a JSON object each."""
+    """(value, _order): a JSON object each, and of files where it stands."""
     if url.scheme in ("http", "https"):
         if recursive:
             raise UserError("HTTP locations can't be listed")
@@ -88,11 +88,13 @@ def _lines(spark: SparkSession, url: Url, recursive: bool) -> DataFrame:
     first = reader.option("wholetext", False).text(url.path).where("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1)).first()
     if first is None:
         return spark.createDataFrame([], "value string")
+    # where a line stands: Spark reads larger files first, so the order of rows alone doesn't say
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_order")
     if first[0] == "{":
-        return reader.text(url.path).where("trim(value) <> ''")
+        return reader.text(url.path).select("value", place).where("trim(value) <> ''")
     if first[0] == "[":
-        whole = reader.option("wholetext", True).text(url.path)
-        return whole.select(F.explode(F.from_json("value", "array<variant>")).alias("v")).select(F.to_json("v").alias("value"))
+        whole = reader.option("wholetext", True).text(url.path).select("value", place)
+        return whole.select("_order", F.explode(F.from_json("value", "array<variant>")).alias("v")).select(F.to_json("v").alias("value"), "_order")
     raise UserError("documents must be a JSON array or one JSON object a line")
 
 
@@ -125,7 +127,7 @@ def documents(lines: DataFrame, m: Mapping) -> DataFrame:
     """JSON lines as typed, flattened documents: ``_id``, every concrete field, ``<field>__vec`` where texts bring vectors.
 
     Unknown keys are passed over; a line that is no JSON object is an error; ``""`` and ``[]`` count as absent; a missing id
-    becomes a random one. Documents without a required field are an error.
+    becomes a random one. Documents without a required field are an error. A column ``_order`` of the lines is carried along.
     """
     names = _keys(lines, m)
     schema = m.to_struct_type(names)
@@ -136,7 +138,8 @@ def documents(lines: DataFrame, m: Mapping) -> DataFrame:
     # texts that may bring a vector are read as raw JSON: a string, an object or a list
     raw = {f.name for f in semantic if f.is_list}
     schema = T.StructType([T.StructField(x.name, T.StringType() if x.name in raw else x.dataType) for x in schema])
-    parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"))
+    carried = [c for c in ("_order",) if c in lines.columns]
+    parsed = lines.select(*carried, F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"))
     out: list[Column] = []
     for n in names:
         f = m.resolve(n)
@@ -153,7 +156,7 @@ def documents(lines: DataFrame, m: Mapping) -> DataFrame:
             given = F.when(c.startswith("{"), F.from_json(c, _EMBEDDED))
             out.append(_present(F.coalesce(given["text"], c), f).alias(n))
             out.append(given["embedding"].alias(f"{n}__vec"))
-    docs = parsed.select(*out)
+    docs = parsed.select(*carried, *out)
     required = [n for n in names if m.resolve(n).required]
     if required:
         lacking = [n for n, lacks in docs.agg(*[F.max(F.col(f"`{n}`").isNull()).alias(n.replace(".", "_")) for n in required]).first().asDict().items() if lacks]

@@ -1,16 +1,26 @@
-"""Index snapshots in any file system that Spark reaches: a folder for each version and a manifest that names the current one."""
+"""Index snapshots in any file system that Spark reaches: immutable segments, deletion lists, and numbered manifests.
+
+A version is what its manifest names: segments (documents, and postings of their lexical fields sorted by field and term), lists of
+deleted rows, and totals of each lexical field. A flush adds one segment and one list at most; nothing is rewritten but by merging.
+A manifest is written under a temporary name and renamed to a number that isn't there yet, so readers see the old version or
+the new one, and of two writers one is refused. The highest number is the current version.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from docquarry.errors import UserError
 from docquarry.mapping import Mapping
 
 MERGE_POLICIES = ("none", "tiered", "byte_size", "doc_count")
+#: Segments beyond which the tiered policy merges, and share of deleted rows beyond which it merges all.
+TIER, MOST_DELETED = 10, 0.25
 
 
 @dataclass(frozen=True)
@@ -19,23 +29,52 @@ class FileEntry:
     size: int
 
 
+@dataclass
+class Segment:
+    """A folder of documents and their postings; ``schema``: of the documents, as JSON."""
+
+    name: str
+    docs: int
+    size: int
+    schema: str
+
+
 @dataclass
 class Manifest:
-    """What a version of an index is made of."""
+    """What a version of an index is made of. ``files``: of documents; ``more``: of postings and deletions."""
 
     mapping: Mapping
     seqnum: int
     files: list[FileEntry] = field(default_factory=list)
     next_seq: int = 0
     batches: dict[str, int] = field(default_factory=dict)
+    segments: list[Segment] = field(default_factory=list)
+    deletions: list[str] = field(default_factory=list)
+    deleted: int = 0
+    totals: dict[str, list[int]] = field(default_factory=dict)
+    more: list[FileEntry] = field(default_factory=list)
+
+    @property
+    def docs(self) -> int:
+        return sum(s.docs for s in self.segments) - self.deleted
+
+    def schema(self) -> T.StructType:
+        """The columns of all segments."""
+        out: dict[str, T.StructField] = {}
+        for s in self.segments:
+            for f in T.StructType.fromJson(json.loads(s.schema)):
+                out.setdefault(f.name, f)
+        return T.StructType(list(out.values()))
 
     def to_json(self) -> str:
-        return json.dumps({"mapping": self.mapping.to_json(), "seqnum": self.seqnum, "files": [vars(f) for f in self.files], "next_seq": self.next_seq, "batches": self.batches})
+        plain = {k: getattr(self, k) for k in ("seqnum", "next_seq", "batches", "deletions", "deleted", "totals")}
+        return json.dumps({"mapping": self.mapping.to_json()} | plain | {k: [vars(x) for x in getattr(self, k)] for k in ("files", "more", "segments")})
 
     @staticmethod
     def from_json(text: str) -> Manifest:
         d = json.loads(text)
-        return Manifest(Mapping.from_json(d["mapping"]), d["seqnum"], [FileEntry(**f) for f in d["files"]], d["next_seq"], d["batches"])
+        lists = {"files": [FileEntry(**f) for f in d["files"]], "more": [FileEntry(**f) for f in d["more"]], "segments": [Segment(**s) for s in d["segments"]]}
+        return Manifest(**(d | lists | {"mapping": Mapping.from_json(d["mapping"])}))
 
 
 def diff(source: list[FileEntry], target: list[FileEntry] | None) -> list[tuple[str, str]]:
@@ -60,6 +99,7 @@ class StateClient:
         return self._fs.exists(self._path(name))
 
     def files(self, name: str = "") -> list[FileEntry]:
+        """All data files below a folder; manifests and hidden files are none."""
         if not self.exists(name):
             return []
         base, out = self._fs.makeQualified(self._path("")).toString().rstrip("/") + "/", []
@@ -67,10 +107,13 @@ class StateClient:
         while it.hasNext():
             s = it.next()
             rel = s.getPath().toString().removeprefix(base)
-            if not rel.rpartition("/")[2].startswith((".", "_")) and rel != "manifest.json":
+            if not rel.rpartition("/")[2].startswith((".", "_")) and not rel.startswith("manifest-"):
                 out.append(FileEntry(rel, s.getLen()))
         return sorted(out, key=lambda f: f.name)
 
+    def folders(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isDirectory()) if self.exists("") else []
+
     def read(self, name: str) -> bytes:
         if not self.exists(name):
             raise UserError(f"no file {name!r} in {self.root}")
@@ -80,17 +123,15 @@ class StateClient:
         finally:
             s.close()
 
-    def write(self, name: str, data: bytes) -> None:
-        """Whole or not at all: written beside, then renamed over."""
-        beside = self._path(f".{name.replace('/', '_')}.new")
+    def create(self, name: str, data: bytes) -> None:
+        """A new file, whole or not at all: written beside, then renamed to a name that must be free."""
+        beside, target = self._path(f".{uuid.uuid4().hex}.new"), self._path(name)
         s = self._fs.create(beside, True)
         s.write(bytearray(data))
         s.close()
-        target = self._path(name)
-        self._fs.mkdirs(target.getParent())
-        if not self._fs.rename(beside, target):
-            self._fs.delete(target, False)
-            self._fs.rename(beside, target)
+        if self._fs.exists(target) or not self._fs.rename(beside, target):
+            self._fs.delete(beside, False)
+            raise UserError(f"{name!r} of {self.root} was written by somebody else")
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
@@ -99,53 +140,130 @@ class StateClient:
         self._fs.mkdirs(self._path(name).getParent())
         self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(other._fs, other._path(name), self._fs, self._path(name), False, True, self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> Manifest | None:
-        return Manifest.from_json(self.read("manifest.json").decode()) if self.exists("manifest.json") else None
+    def versions(self) -> list[int]:
+        """Numbers of the manifests that are there, ascending."""
+        if not self.exists(""):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
+        return sorted(int(n.removeprefix("manifest-").removesuffix(".json")) for n in names if n.startswith("manifest-"))
+
+    def manifest(self, number: int | None = None) -> Manifest | None:
+        """The current version's manifest, or that of a given one."""
+        have = self.versions()
+        if not have:
+            return None
+        return Manifest.from_json(self.read(f"manifest-{have[-1] if number is None else number}.json").decode())
+
+    def publish(self, m: Manifest) -> None:
+        self._fs.mkdirs(self._path(""))
+        self.create(f"manifest-{m.seqnum}.json", m.to_json().encode())
+
+
+POSTINGS = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("_seq", "tf", "n")]])
+
+
+def documents(client: StateClient, m: Manifest, segments: list[Segment] | None = None) -> DataFrame:
+    """Live documents of all segments, or of some."""
+    every = client.spark.read.schema(m.schema()).parquet(*[f"{client.root}/{s.name}/docs" for s in segments or m.segments])
+    return _live(client, m, every)
 
 
-def commit(client: StateClient, docs: DataFrame, mapping: Mapping, seqnum: int, next_seq: int, batches: dict[str, int], files: int | None = None) -> Manifest:
-    """Write a version and make it the current one; older versions stay readable until ``sweep``."""
-    folder = f"v={seqnum}"
-    (docs.coalesce(files) if files else docs).write.mode("overwrite").parquet(f"{client.root}/{folder}")
-    m = Manifest(mapping, seqnum, client.files(folder), next_seq, batches)
-    client.write("manifest.json", m.to_json().encode())
+def postings(client: StateClient, m: Manifest, segments: list[Segment] | None = None) -> DataFrame:
+    """field, term, _seq, tf, n (terms of the document's field), of live documents."""
+    return _live(client, m, client.spark.read.schema(POSTINGS).parquet(*[f"{client.root}/{s.name}/terms" for s in segments or m.segments]))
+
+
+def _live(client: StateClient, m: Manifest, rows: DataFrame) -> DataFrame:
+    if not m.deletions:
+        return rows
+    return rows.join(client.spark.read.schema("_seq long").parquet(*[f"{client.root}/{d}" for d in m.deletions]), "_seq", "left_anti")
+
+
+def write_segment(client: StateClient, docs: DataFrame, terms: DataFrame | None, files: int | None = None) -> Segment:
+    """A new segment. ``terms``: postings, sorted here by field and term, so that a reader takes the row groups of its terms only."""
+    name = f"seg-{uuid.uuid4().hex}"
+    (docs.coalesce(files) if files else docs).write.parquet(f"{client.root}/{name}/docs")
+    terms = client.spark.createDataFrame([], POSTINGS) if terms is None else terms
+    keys = ("field", "term", "_seq")
+    (terms.coalesce(files).sortWithinPartitions(*keys) if files else terms.repartitionByRange(*keys).sortWithinPartitions(*keys)).write.parquet(f"{client.root}/{name}/terms")
+    back = client.spark.read.schema(docs.schema).parquet(f"{client.root}/{name}/docs")
+    return Segment(name, back.count(), sum(f.size for f in client.files(f"{name}/docs")), docs.schema.json())
+
+
+def listed(client: StateClient, m: Manifest, old: Manifest | None) -> Manifest:
+    """``m`` with its files: those known from before, and those of new folders."""
+    known = {f.name: f for f in [*old.files, *old.more]} if old else {}
+    want = [*[f"{s.name}/docs" for s in m.segments], *[f"{s.name}/terms" for s in m.segments], *m.deletions]
+    m.files, m.more = [], []
+    for folder in want:
+        own = [f for n, f in known.items() if n.startswith(folder + "/")] or client.files(folder)
+        (m.files if folder.endswith("/docs") else m.more).extend(own)
     return m
 
 
 def sweep(client: StateClient, keep: int = 2) -> None:
-    """Delete versions older than the last ``keep``."""
-    m = client.manifest()
-    folders = {f.name.split("/")[0] for f in client.files()}
-    for old in sorted((x for x in folders if x.startswith("v=")), key=lambda x: int(x[2:])):
-        if m and int(old[2:]) <= m.seqnum - keep:
-            client.delete(old)
+    """Delete all but the last ``keep`` versions, and folders that none of these names (a failed flush leaves such)."""
+    have = client.versions()
+    named = {f.name.split("/")[0] for v in have[-keep:] for m in [client.manifest(v)] for f in [*m.files, *m.more]}
+    named |= {s.name for v in have[-keep:] for s in client.manifest(v).segments}
+    for v in have[:-keep]:
+        client.delete(f"manifest-{v}.json")
+    for folder in client.folders():
+        if folder.startswith(("seg-", "del-")) and folder not in named:
+            client.delete(folder)
 
 
 def replicate(source: StateClient, target: StateClient) -> list[tuple[str, str]]:
-    """Bring the target to the source's current version; the manifest is switched last but for deletions."""
+    """Bring the target to the source's current version; the manifest is written last but for deletions."""
     m = source.manifest()
     if m is None:
         raise UserError(f"no index in {source.root}")
     old = target.manifest()
-    ops = diff(m.files, old.files if old else None)
+    ops = diff([*m.files, *m.more], [*old.files, *old.more] if old else None)
     for op, name in ops:
         if op == "add" and name != "manifest.json":
             target.copy_from(source, name)
-    target.write("manifest.json", m.to_json().encode())
+    if old is None or old.seqnum < m.seqnum:
+        target.publish(m)
     for op, name in ops:
         if op == "delete":
             target.delete(name)
     return ops
 
 
-def merge_files(docs_bytes: int, n_docs: int, policy: dict | None) -> int | None:
-    """How many files a merge policy leaves; None: as written."""
+def _policy(policy: dict | str | None) -> tuple[str, dict]:
     kind, spec = next(iter((policy or {"tiered": {}}).items())) if isinstance(policy, dict) or not policy else (policy, {})
     if kind not in MERGE_POLICIES:
         raise UserError(f"unknown merge policy {kind!r}")
-    spec = spec or {}
+    return kind, spec or {}
+
+
+def merge_files(docs_bytes: int, n_docs: int, policy: dict | None) -> int | None:
+    """How many files a merge policy leaves; None: as written."""
+    kind, spec = _policy(policy)
     if kind == "byte_size":
         return max(1, -(-docs_bytes // int(spec.get("max_merge_size", 512 << 20))))
     if kind == "doc_count":
         return max(1, -(-n_docs // int(spec.get("max_merge_docs", 10_000_000))))
     return None
+
+
+def to_merge(m: Manifest, policy: dict | str | None) -> list[Segment]:
+    """Segments that a policy merges into one after a flush; all of them, where many rows are deleted.
+
+    ``tiered``: the smallest ones, once there are more than ``TIER``. ``byte_size`` and ``doc_count``: the smallest ones that
+    together stay below the policy's size, once there are more than ``TIER`` of them.
+    """
+    kind, spec = _policy(policy)
+    if kind == "none" or not m.segments:
+        return []
+    if m.deleted > MOST_DELETED * sum(s.docs for s in m.segments):
+        return m.segments
+    small, total = [], 0
+    for s in sorted(m.segments, key=lambda s: (s.docs, s.name)):
+        total += s.size if kind == "byte_size" else s.docs
+        most = {"byte_size": int(spec.get("max_merge_size", 512 << 20)), "doc_count": int(spec.get("max_merge_docs", 10_000_000))}.get(kind)
+        if most is not None and total > most:
+            break
+        small.append(s)
+    return small[:TIER] if len(small) > TIER else []
