@@ -37,7 +37,7 @@ def _plain(v: Any) -> Any:
     return v
 
 
-def _embedding(model: Any):
+def embedding_udf(model: Any):
     @F.pandas_udf("array<float>")
     def embed(t: pd.Series) -> pd.Series:
         return pd.Series([x.astype("float32").tolist() for x in model.embed(t.tolist(), "document")])
@@ -235,7 +235,7 @@ class Index:
             todo = docs.where(F.col(f"`{v}`").isNull() & c.isNotNull())
             texts = todo.select(F.explode(c).alias("text") if f.is_list else c.alias("text")).distinct()
 
-            known = texts.withColumn("vector", _embedding(model)("text"))
+            known = texts.withColumn("vector", embedding_udf(model)("text"))
             if f.is_list:
                 each = todo.select("_id", F.posexplode(c).alias("pos", "text")).join(known, "text")
                 made = each.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vector"))), lambda x: x["vector"]).alias("_made"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,13 +164,53 @@ def knn_multivector(spark, sf):
     return _scored(_search(docs, {"v": {"type": "text[]", "search": {"semantic": {"dim": 64}}}}, {"query": _knn(25), "size": 25}).hits())
 
 
-@_register(f"SELECT vec_id AS id, round((1 + list_inner_product(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END), {_V})) / 2, 6) AS score FROM embeddings ORDER BY round(list_inner_product(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END), {_V}), 9) DESC, id LIMIT 25")
-def knn_sign_bits(spark, sf):
-    docs = _table(spark, sf, "embeddings", "vec_id")
-    from docquarry.functions.vectors import quantize, similarity
+_SIGNS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)"
 
-    s = similarity(quantize(F.col("embedding"), "int1"), _VECTOR, "dot")
-    return docs.select(F.col("_id").alias("id"), s.alias("s")).orderBy(F.desc(F.round(s * 2 - 1, 9)), "id").limit(25).select("id", F.round("s", 6).alias("score"))
+
+def _steps(n: int) -> str:
+    top = "list_max(list_transform(embedding, lambda y: abs(y::DOUBLE)))"
+    return f"list_transform(embedding, lambda x: CASE WHEN {top} = 0 THEN 0 ELSE round(x::DOUBLE * {n} / {top}) * {top} / {n} END)"
+
+
+def _quantised(kind: str, vector: str) -> None:
+    def query(spark, sf):
+        docs = _table(spark, sf, "embeddings", "vec_id").withColumnRenamed("embedding", "v__vec").withColumn("v", F.lit("x"))
+        fields = {"v": {"type": "text", "search": {"semantic": {"dim": 64, "quantize": kind}}}}
+        # sums of few distinct numbers tie often and differ in the last digit by the order of summing: ranked again on rounded scores
+        found = _search(docs, fields, {"query": _knn(4000), "size": 4000}).hits()
+        return found.select(F.col("_id").alias("id"), F.round("_score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(25)
+
+    _QUERIES[f"knn_{kind}"] = query
+    _SQL[f"knn_{kind}"] = f"SELECT vec_id AS id, round((1 + list_inner_product({vector}, {_V})) / 2, 6) AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 25"
+
+
+_quantised("int1", _SIGNS)
+_quantised("int8", _steps(127))
+_quantised("int4", _steps(7))
+
+
+class LetterEmbedder:
+    """Letters counted, at unit length: an embedding that SQL can express."""
+
+    def embed(self, texts: list[str], task: str = "raw") -> np.ndarray:
+        v = np.array([[t.count(c) for c in _LETTERS] for t in texts], float).reshape(len(texts), len(_LETTERS))
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_COUNTS = "[" + ", ".join(f"(length(p_name) - length(replace(p_name, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+_ASKED = "[" + ", ".join(f"{float('deep red'.count(c))}::DOUBLE" for c in _LETTERS) + "]"
+
+
+@_register(f"SELECT p_partkey AS id, round((1 + list_cosine_similarity({_COUNTS}, {_ASKED})) / 2, 4) AS score FROM part ORDER BY 2 DESC, 1 LIMIT 40")
+def semantic_letters(spark, sf):
+    from docquarry.engine import embedding_udf
+
+    docs = _table(spark, sf, "part", "p_partkey").withColumn("p_name__vec", embedding_udf(LetterEmbedder())("p_name"))
+    models = Models(embedding={"letters": LetterEmbedder()})
+    fields = {"p_name": {"type": "text", "search": {"semantic": {"model": "letters"}}}}
+    s = Search(corpus_of(docs, Mapping.parse("q", {"fields": fields}), models), dsl.parse_search({"query": {"semantic": {"field": "p_name", "query": "deep red", "k": 10_000}}, "size": 10_000}), models)
+    return s.hits().select(F.col("_id").alias("id"), F.round("_score", 4).alias("score")).orderBy(F.desc("score"), "id").limit(40)
 
 
 # ---- reranking -----------------------------------------------------------------------------------------------------
@@ -289,6 +330,32 @@ def sort_multi(spark, sf):
     return _sorted(spark, sf, ["o_orderstatus", {"o_orderpriority": "desc"}, {"gap": {"order": "desc"}}])
 
 
+@_register("SELECT user_id AS id FROM events GROUP BY 1 ORDER BY min(event_type), max(ts) DESC, user_id LIMIT 60")
+def sort_text_list_and_datetime(spark, sf):
+    docs = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("user_id").alias("_id")).agg(F.collect_list("event_type").alias("kinds"), F.max("ts").alias("last"))
+    fields = {"kinds": {"type": "text[]", "sort": True}, "last": {"type": "datetime", "sort": True}}
+    return _search(docs, fields, {"size": 60, "sort": ["kinds", {"last": "desc"}]}).hits().select(F.col("_id").alias("id"))
+
+
+@_register("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, o_totalprice > 150000, o_orderkey LIMIT 80")
+def sort_date_and_bool(spark, sf):
+    docs = _table(spark, sf, "orders", "o_orderkey").withColumn("day", F.to_date("o_orderdate")).withColumn("big", F.col("o_totalprice") > 150000)
+    found = _search(docs, {"day": _f("date"), "big": {"type": "bool", "sort": True}}, {"size": 80, "fields": ["day"], "sort": [{"day": "desc"}, "big"]}).hits()
+    return found.select(F.col("_id").alias("id"), F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@_register("SELECT o_orderkey AS id FROM orders WHERE o_totalprice > 150000 AND CAST(o_orderdate AS DATE) >= DATE '1995-06-01'")
+def filter_term_bool_range_date(spark, sf):
+    docs = _table(spark, sf, "orders", "o_orderkey").withColumn("day", F.to_date("o_orderdate")).withColumn("big", F.col("o_totalprice") > 150000)
+    return _ids(docs, {"day": _f("date"), "big": {"type": "bool", "filter": True}}, {"include": {"and": [{"term": {"big": True}}, {"range": {"day": {"gte": "1995-06-01"}}}]}})
+
+
+@_register("SELECT o_orderkey AS id, o_totalprice AS score FROM orders ORDER BY o_orderkey DESC LIMIT 5")
+def sort_doc(spark, sf):
+    docs = _table(spark, sf, "orders", "o_orderkey")
+    return _search(docs, _ORDERS, {"size": 5, "fields": ["o_totalprice"], "sort": [{"_doc": "desc"}]}).hits().select(F.col("_id").alias("id"), F.col("o_totalprice").alias("score"))
+
+
 # ---- facets --------------------------------------------------------------------------------------------------------
 def _facet(docs, fields, agg, filters=None):
     s = _search(docs, fields, {"filters": filters or {}, "aggs": {"a": agg}})
@@ -336,6 +403,19 @@ def agg_filtered(spark, sf):
     return _facet(_table(spark, sf, "orders", "o_orderkey"), _ORDERS, {"term": {"field": "o_orderpriority"}}, {"include": {"range": {"o_totalprice": {"gt": 100000}}}})
 
 
+@_register("SELECT CAST(round(l_discount, 2) AS VARCHAR) AS term, count(*) AS count FROM lineitem GROUP BY l_discount ORDER BY 2 DESC, l_discount LIMIT 12")
+def agg_term_double(spark, sf):
+    return _facet(_table(spark, sf, "lineitem", "l_orderkey"), {"l_discount": _f("double")}, {"term": {"field": "l_discount", "size": 12}})
+
+
+@_register(f"""WITH {_bm25('a', 'part', 'p_partkey', 'p_name', ['red'])}, {_bm25('b', 'part', 'p_partkey', 'p_type', ['brass'])}, u AS (SELECT id FROM a UNION SELECT id FROM b)
+SELECT p_brand AS term, count(*) AS count FROM u JOIN part ON p_partkey = id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def agg_of_fused_matches(spark, sf):
+    q = {"rrf": {"retrieve": [{"match": {"p_name": "red"}}, {"match": {"p_type": "brass"}}], "rank_window_size": 30}}
+    s = _search(_table(spark, sf, "part", "p_partkey"), _PART | {"p_type": _LEX}, {"query": q})
+    return aggs.term_counts(s.matches(), s.corpus.mapping, dsl.TermAgg("p_brand"))
+
+
 @_register(f"WITH {_bm25('m', 'documents', 'doc_id', 'text', ['license'])} SELECT source AS term, count(*) AS count FROM m JOIN documents ON doc_id = id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def agg_of_matches(spark, sf):
     s = _documents(spark, sf, {"query": {"match": {"text": "license"}}})
@@ -372,10 +452,24 @@ def suggest_pattern(spark, sf):
     return suggest.lists(_phrases(spark, sf), "ed", 50)[3]
 
 
-@_register()
+_CLOSE = " OR ".join(f"damerau_levenshtein(text[1:{n}], '@') <= 2" for n in range(2, 7))
+
+
+@_register(_PHRASES.rstrip(",") + f" SELECT text FROM g WHERE starts_with(text, 'b') AND ({_CLOSE.replace('@', 'bleu')}) ORDER BY text LIMIT 50")
+def suggest_fuzzy2(spark, sf):
+    return suggest.lists(_phrases(spark, sf), "bleu", 50)[2]
+
+
+_NEAR = " OR ".join(f"damerau_levenshtein(text[1:{n}], 'red') <= @" for n in range(1, 6))
+_LISTS = ["starts_with(text, 'red')", f"starts_with(text, 'r') AND ({_NEAR.replace('@', '1')})", f"starts_with(text, 'r') AND ({_NEAR.replace('@', '2')})", "contains(lower(text), 'red')"]
+
+
+@_register(_PHRASES + ", ".join(f"l{i} AS (SELECT text, 1 / (60.0::DOUBLE + row_number() OVER (ORDER BY text) - 1) AS part, {i} AS seen FROM g WHERE {w} ORDER BY text LIMIT 50)" for i, w in enumerate(_LISTS))
+    + ", u AS (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(4)) + ") SELECT arg_min(text, seen) AS text, round(sum(part), 6) AS score FROM u GROUP BY lower(text) ORDER BY sum(part) DESC, lower(text) LIMIT 20")
 def suggest_fused(spark, sf):
     r = dsl.parse_suggest({"query": "red", "fields": ["p_name"], "count": 20})
-    return suggest.suggest(_table(spark, sf, "part", "p_partkey"), Mapping.parse("q", {"fields": _NAMES}), r)
+    found = suggest.suggest(_table(spark, sf, "part", "p_partkey"), Mapping.parse("q", {"fields": _NAMES}), r)
+    return found.select("text", F.round("score", 6).alias("score"))
 
 
 # ---- text, ingest, answers -----------------------------------------------------------------------------------------
@@ -386,15 +480,44 @@ def analyze_generic(spark, sf):
 
 @_register("SELECT user_id AS id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def ingest_upsert_last_wins(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    last = e.groupBy(F.col("user_id").alias("id")).agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("d"))
-    return last.select("id", "d.*")
+    """Through an index: one version with the earlier half of the events, one with the later half."""
+    i = _index(spark, {"event_id": {"type": "long"}, "event_type": _f("text")})
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("_id"), "event_id", "event_type", F.col("event_id").alias("_order"))
+    for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        i.add_documents(e.where(half))
+    i.add_documents(e.where("event_type <> 'error'"))
+    i.add_documents(e)
+    i.flush()
+    return i.docs().select(F.col("_id").cast("long").alias("id"), "event_id", "event_type")
+
+
+def _index(spark, fields):
+    from docquarry.engine import Index
+    from docquarry.sources.store import scratch
+
+    return Index(spark, Mapping.parse("q", {"fields": fields}), scratch(spark))
 
 
-@_register("SELECT event_id AS id FROM events WHERE NOT coalesce(event_type = 'error' AND value > 10, false)")
+@_register("SELECT event_id AS id FROM events WHERE NOT coalesce(event_type = 'error' AND value > 10, false) AND event_id <> 5")
 def ingest_delete_by_filter(spark, sf):
-    f = {"exclude": {"and": [{"term": {"event_type": "error"}}, {"range": {"value": {"gt": 10}}}]}}
-    return _ids(_table(spark, sf, "events", "event_id"), {"event_type": _f("text"), "value": _f("double")}, f)
+    i = _index(spark, {"event_type": _f("text"), "value": _f("double")})
+    i.add_documents(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").cast("string").alias("_id"), "event_type", "value"))
+    i.flush()
+    i.delete(where={"include": {"and": [{"term": {"event_type": "error"}}, {"range": {"value": {"gt": 10}}}]}})
+    i.delete(ids=["5"])
+    i.flush()
+    return i.docs().select(F.col("_id").cast("long").alias("id"))
+
+
+@_register(f"WITH {_bm25('m', 'documents', 'doc_id', 'text', ['license', 'the', 'of'])} SELECT id, round(score, 6) AS score FROM m ORDER BY m.score DESC, id LIMIT 40")
+def index_match_top(spark, sf):
+    """Through an index with postings: texts are analysed when it is written, the query reads its terms' row groups."""
+    i = _index(spark, {"text": {"type": "text", "search": {"lexical": {"analyze": "generic"}}}})
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("_id"), "text", F.col("doc_id").alias("_order"))
+    i.add_documents(docs)
+    i.flush()
+    found = i.plan({"query": {"match": {"text": "license the of"}}, "size": 40}).hits()
+    return found.select(F.col("_id").cast("long").alias("id"), F.round("_score", 6).alias("score"))
 
 
 @_register("SELECT CAST(event_id AS VARCHAR) AS id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")

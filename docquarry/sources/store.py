@@ -9,6 +9,7 @@ the new one, and of two writers one is refused. The highest number is the curren
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -159,6 +160,16 @@ class StateClient:
         self.create(f"manifest-{m.seqnum}.json", m.to_json().encode())
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors see: below ``spark.checkpoint.dir``; only where that is unset, on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise UserError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="docquarry-")
+    return f"{base.rstrip('/')}/docquarry-{uuid.uuid4().hex}"
+
+
 POSTINGS = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("_seq", "tf", "n")]])
 
 
