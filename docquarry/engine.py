@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import time
 import uuid
 from collections import Counter
@@ -118,7 +119,7 @@ class Index:
         """
         if not self.pending and batch is None:
             return 0
-        old = self.manifest
+        began, old = time.time(), self.manifest
         m = store.Manifest(self.mapping, old.seqnum + 1 if old else 1, next_seq=old.next_seq if old else 0, batches=(old.batches if old else {}) | ({batch[0]: batch[1]} if batch else {}))
         m.segments, m.deletions, m.deleted = (list(old.segments), list(old.deletions), old.deleted) if old else ([], [], 0)
         m.totals = {k: list(v) for k, v in old.totals.items()} if old else {}
@@ -153,6 +154,7 @@ class Index:
             self._merge(chosen, None)
         store.sweep(self.client)
         self.metrics["flushes"] += 1
+        self.metrics["flush_seconds"] += time.time() - began
         return m.docs - (old.docs if old else 0)
 
     def _numbered(self, docs: DataFrame, m: store.Manifest) -> DataFrame:
@@ -264,9 +266,16 @@ class Index:
     def search(self, request: dict | None = None) -> dict:
         """A response: took, hits, aggs, ts and, if asked for, the generated answer."""
         began = time.time()
-        s = self.plan(request)
+        request = dsl.parse_search(request)
+        parsed = time.time()
+        corpus = self.corpus()
+        opened = time.time()
+        s = Search(corpus, request, self.models)
         r = s.request
-        rows = s.hits().collect() if r.size else []  # at most `size` rows
+        plan = s.hits() if r.size else None
+        planned = time.time()
+        rows = plan.collect() if plan is not None else []  # at most `size` rows
+        collected = time.time()
         hits = [{k: _plain(v) for k, v in row.asDict().items() if v is not None or k == "_score"} for row in rows]
         searched = time.time()
         found = aggs.facets(s.matches(), self.mapping, r.aggs) if r.aggs else {}
@@ -274,7 +283,10 @@ class Index:
         if r.rag is not None:
             out["response"] = self.answer(s, r.rag)
         self.metrics["searches"] += 1
-        out["took"] = {"total": time.time() - began, "search": searched - began, "agg": time.time() - searched}
+        ended = time.time()
+        # reranking is a part of the plan that is collected: its share isn't told apart from the search's
+        out["took"] = {"total": ended - began, "request": parsed - began, "open": opened - parsed, "plan": planned - opened, "search": collected - planned, "fetch": searched - collected, "agg": ended - searched}
+        self.metrics["search_seconds"] += ended - began
         return out
 
     def answer(self, s: Search, r: dsl.Rag) -> str:
@@ -286,8 +298,10 @@ class Index:
         return model.complete(rag.prompt(r.prompt, [x["context"] for x in rows]), r.max_response_length)
 
     def suggest(self, request: dict) -> list[dict]:
-        self.metrics["suggestions"] += 1
+        began = time.time()
         rows = suggest.suggest(self.docs(), self.mapping, dsl.parse_suggest(request)).collect()
+        self.metrics["suggestions"] += 1
+        self.metrics["suggest_seconds"] += time.time() - began
         return [{"text": x["text"], "score": x["score"]} for x in rows]
 
     def stats(self) -> dict:
@@ -302,12 +316,34 @@ class Index:
         return store.replicate(self.client, store.StateClient(self.spark, root))
 
 
+#: Settings of the sections ``core`` and ``searcher`` with their defaults.
+SETTINGS: dict[str, dict[str, Any]] = {"core": {"host": "0.0.0.0", "port": 8080, "loglevel": "warn", "cache_dir": None}, "searcher": {"host": "0.0.0.0", "port": 8080}}
+
+
+def settings(config: dict) -> dict[str, dict[str, Any]]:
+    """The two sections, defaults filled in; ``DOCQUARRY_<SECTION>_<KEY>`` in the environment goes first. Unknown keys are an error."""
+    out: dict[str, dict[str, Any]] = {}
+    for section, defaults in SETTINGS.items():
+        given = config.get(section) or {}
+        if set(given) - set(defaults):
+            raise UserError(f"unknown settings {sorted(set(given) - set(defaults))} of {section}")
+        out[section] = {}
+        for k, v in (defaults | given).items():
+            v = os.environ.get(f"DOCQUARRY_{section}_{k}".upper(), v)
+            try:
+                out[section][k] = int(v) if k == "port" else v
+            except ValueError:
+                raise UserError(f"port of {section} must be a number, not {v!r}") from None
+    return out
+
+
 class Engine:
     """All indexes of a configuration."""
 
     def __init__(self, spark: SparkSession, config: dict, root: str):
         if set(config) - {"inference", "searcher", "core", "schema"}:
             raise UserError(f"unknown sections {sorted(set(config) - {'inference', 'searcher', 'core', 'schema'})}")
+        self.settings = settings(config)
         self.models = Models.parse(config.get("inference"))
         self.indexes = {n: Index(spark, Mapping.parse(n, s), f"{root.rstrip('/')}/{n}", self.models) for n, s in (config.get("schema") or {}).items()}
 
@@ -336,5 +372,15 @@ class Engine:
     def health(self) -> dict:
         return {"status": "ok"}
 
-    def metrics(self) -> dict[str, dict[str, int]]:
-        return {n: dict(i.metrics) for n, i in self.indexes.items()}
+    def metrics(self) -> dict[str, dict[str, float]]:
+        """Counts and seconds by index, and how many documents it holds."""
+        return {n: dict(i.metrics) | {"docs": i.manifest.docs if i.manifest else 0} for n, i in self.indexes.items()}
+
+    def metrics_text(self) -> str:
+        """The same in the text format that monitoring systems read."""
+        rows = [(k, n, v) for n, m in self.metrics().items() for k, v in m.items()]
+        kinds = {k: "gauge" if k == "docs" else "counter" for k, _, _ in rows}
+        out = []
+        for k in sorted(kinds):
+            out += [f"# TYPE docquarry_{k} {kinds[k]}", *[f'docquarry_{k}{{index="{n}"}} {v:g}' for x, n, v in rows if x == k]]
+        return "\n".join(out) + "\n"

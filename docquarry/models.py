@@ -10,6 +10,7 @@ import os
 import re
 import time
 import urllib.request
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -146,6 +147,31 @@ class HttpEmbedder:
         return np.array(out)
 
 
+@dataclass
+class CachedEmbedder:
+    """Remembers the vectors of the texts that were asked for last, in each process by itself; each distinct text is embedded once."""
+
+    model: Embedder
+    most: int = 32_768
+    known: OrderedDict = field(default_factory=OrderedDict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": OrderedDict()}
+
+    def embed(self, texts: list[str], task: str = "raw") -> np.ndarray:
+        todo = [t for t in dict.fromkeys(texts) if (task, t) not in self.known]
+        fresh = dict(zip(todo, self.model.embed(todo, task), strict=True)) if todo else {}
+        out = []
+        for t in texts:
+            v = fresh[t] if t in fresh else self.known[task, t]
+            self.known[task, t] = v
+            self.known.move_to_end((task, t))
+            out.append(v)
+        while len(self.known) > self.most:
+            self.known.popitem(last=False)
+        return np.array(out)
+
+
 @dataclass
 class OverlapRanker:
     """Share of the query's words that a text holds."""
@@ -226,7 +252,11 @@ class Models:
                 provider = s.pop("provider", next(iter(kinds)))
                 if provider not in kinds:
                     raise UserError(f"unknown provider {provider!r} of {section} model {name!r}")
+                cache = s.pop("cache", True) if section == "embedding" else False
                 out[section][name] = kinds[provider](**s)
+                if cache:
+                    most = ((cache.get("inmem") or {}).get("max_size") if isinstance(cache, dict) else None) or CachedEmbedder.most
+                    out[section][name] = CachedEmbedder(out[section][name], int(most))
         return Models(**out)
 
     def get(self, section: str, name: str) -> Any:

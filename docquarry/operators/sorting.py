@@ -11,9 +11,6 @@ from docquarry.mapping import Mapping
 from docquarry.operators.filters import column
 from docquarry.plans import dsl
 
-#: Text is ordered by so many of its first characters.
-TEXT_PREFIX = 1024
-
 
 def _key(m: Mapping, s: dsl.SortBy) -> Column:
     if s.field == "_score":
@@ -30,7 +27,7 @@ def _key(m: Mapping, s: dsl.SortBy) -> Column:
         raise UserError(f"sorting by {f.name!r} needs a point of origin")
     if f.is_list:
         c = F.array_min(c) if s.ascending else F.array_max(c)
-    return F.substring(c, 1, TEXT_PREFIX) if f.base == "text" else c
+    return c
 
 
 def order(m: Mapping, keys: tuple[dsl.SortBy, ...]) -> list[Column]:

@@ -48,37 +48,56 @@ def edits(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
-def near_prefix(text: Column, query: str, most: int) -> Column:
-    """Whether some prefix of a text is within ``most`` edits of the query; cheap conditions in front leave few for Python."""
+def _rough(text: Column, query: str, most: int) -> Column:
+    """A condition without Python that all texts meet of which some prefix is within ``most`` edits of the query."""
     if len(query) < FUZZY_LEAST:
         return F.lit(False)
-
-    @F.pandas_udf("boolean")
-    def near(t: pd.Series) -> pd.Series:
-        return t.map(lambda s: any(edits(s[:n], query, most) <= most for n in range(max(1, len(query) - most), min(len(s), len(query) + most) + 1)))
-
     # without transpositions a prefix is at most twice as far away
     widths = range(max(1, len(query) - most), len(query) + most + 1)
-    rough = reduce(lambda a, b: a | b, [F.levenshtein(F.substring(text, 1, n), F.lit(query), 2 * most) >= 0 for n in widths])
-    return text.startswith(query[:FUZZY_PREFIX]) & rough & near(text)
+    return text.startswith(query[:FUZZY_PREFIX]) & reduce(lambda a, b: a | b, [F.levenshtein(F.substring(text, 1, n), F.lit(query), 2 * most) >= 0 for n in widths])
+
+
+def _edits_of_prefix(text: Column, query: str) -> Column:
+    """The fewest edits between the query and a prefix of a text as long as it, give or take as many; 3 if more than 2."""
+
+    @F.pandas_udf("int")
+    def fewest(t: pd.Series) -> pd.Series:
+        def one(s: str) -> int:
+            return next((most for most in (0, 1, 2) if any(edits(s[:n], query, most) <= most for n in range(max(1, len(query) - most), min(len(s), len(query) + most) + 1))), 3)
+
+        return t.map(one)
+
+    return fewest(text)
+
+
+def flagged(phrases: DataFrame, query: str) -> DataFrame:
+    """(text, seen): phrases with the lists that they stand in (0 prefix, 1 and 2 fuzzy, 3 pattern), in one pass over the phrases.
+
+    Cheap conditions in front leave few phrases for Python.
+    """
+    q, t = query.lower(), F.col("text")
+    starts, holds, rough = t.startswith(q), F.lower(t).contains(q), _rough(t, q, 2)
+    some = phrases.where(starts | holds | rough).withColumn("_rough", rough)
+    close = some.withColumn("_edits", _edits_of_prefix(t, q)) if len(q) >= FUZZY_LEAST else some.withColumn("_edits", F.lit(3))
+    near = lambda most: F.col("_rough") & (F.col("_edits") <= most)
+    lists = F.array(*[F.when(x, F.lit(i)) for i, x in enumerate((starts, near(1), near(2), holds))])
+    return close.select("text", F.explode(F.array_compact(lists)).alias("seen"))
 
 
 def lists(phrases: DataFrame, query: str, depth: int) -> list[DataFrame]:
     """The four lists of a field, each (text) in order, at most ``depth`` long."""
-    q = query.lower()
-    t = F.col("text")
-    tests = [t.startswith(q), near_prefix(t, q, 1), near_prefix(t, q, 2), F.lower(t).contains(q)]
-    return [phrases.where(x).orderBy("text").limit(depth) for x in tests]
+    found = flagged(phrases, query)
+    return [found.where(F.col("seen") == i).select("text").orderBy("text").limit(depth) for i in range(4)]
 
 
 def suggest(docs: DataFrame, m: Mapping, r: dsl.SuggestRequest) -> DataFrame:
-    """(text, score): the best ``count`` suggestions."""
+    """(text, score): the best ``count`` suggestions. Phrases of each field are derived and looked through once."""
     depth = max(r.depth, r.count)
-    order = Window.orderBy("text")  # over at most `depth` rows
+    order = Window.partitionBy("seen").orderBy("text")
     parts = []
     for i, name in enumerate(r.fields):
-        for j, x in enumerate(lists(candidates(docs, m, name), r.query, depth)):
-            parts.append(x.select("text", (1.0 / (r.scale + F.row_number().over(order) - 1)).alias("part"), F.lit(4 * i + j).alias("seen")))
+        ranked = flagged(candidates(docs, m, name), r.query).withColumn("n", F.row_number().over(order)).where(F.col("n") <= depth)
+        parts.append(ranked.select("text", (1.0 / (r.scale + F.col("n") - 1)).alias("part"), (F.col("seen") + 4 * i).alias("seen")))
     every = reduce(DataFrame.unionByName, parts)
     fused = every.groupBy(F.lower("text").alias("key")).agg(F.min_by("text", F.struct("seen", "text")).alias("text"), F.sum("part").alias("score"))
     return fused.orderBy(F.desc("score"), "key").limit(r.count).select("text", "score")

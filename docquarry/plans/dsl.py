@@ -185,6 +185,7 @@ class SuggestRequest:
     scale: float = 60.0
 
 
+#: Most neighbours and ranks that a query may ask for: such lists go to all executors, so larger ones are refused.
 MOST_CANDIDATES = 10_000
 
 
@@ -210,6 +211,12 @@ def _count(x: Any, what: str, least: int = 1) -> int:
     return x
 
 
+def _bounded(x: Any, what: str) -> int:
+    if _count(x, what) > MOST_CANDIDATES:
+        raise UserError(f"{what} can't be more than {MOST_CANDIDATES}")
+    return x
+
+
 def _text(x: Any, what: str) -> str:
     if not isinstance(x, str):
         raise UserError(f"{what} must be a string")
@@ -223,7 +230,7 @@ def _many(x: Any, what: str, least: int = 1) -> list:
 
 
 def _neighbours(d: dict) -> dict:
-    return {"k": None if d.get("k") is None else _count(d["k"], "k"), "candidates": None if d.get("num_candidates") is None else _count(d["num_candidates"], "num_candidates")}
+    return {"k": None if d.get("k") is None else _bounded(d["k"], "k"), "candidates": None if d.get("num_candidates") is None else _bounded(d["num_candidates"], "num_candidates")}
 
 
 def parse_query(x: Any) -> Any:
@@ -266,11 +273,11 @@ def parse_query(x: Any) -> Any:
     if kind == "rrf":
         d = _object(d, kind, {"retrieve", "k", "rank_window_size"}, ("retrieve",))
         w = d.get("rank_window_size")
-        return Rrf(tuple(parse_query(q) for q in _many(d["retrieve"], "retrieve")), float(d.get("k", 60.0)), None if w is None else _count(w, "rank_window_size"))
+        return Rrf(tuple(parse_query(q) for q in _many(d["retrieve"], "retrieve")), float(d.get("k", 60.0)), None if w is None else _bounded(w, "rank_window_size"))
     if kind == "cross_encoder":
         d = _object(d, kind, {"model", "query", "retrieve", "doc_template", "rank_window_size"}, ("model", "query", "retrieve", "doc_template"))
         w = d.get("rank_window_size")
-        return CrossEncoder(d["model"], _text(d["query"], "query"), parse_query(d["retrieve"]), _text(d["doc_template"], "doc_template"), None if w is None else _count(w, "rank_window_size"))
+        return CrossEncoder(d["model"], _text(d["query"], "query"), parse_query(d["retrieve"]), _text(d["doc_template"], "doc_template"), None if w is None else _bounded(w, "rank_window_size"))
     raise UserError(f"unknown query type {kind!r}")
 
 
@@ -381,14 +388,14 @@ def normalize(r: SearchRequest) -> SearchRequest:
 
     def windows(q: Any) -> Any:
         if isinstance(q, Rrf):
-            return replace(q, window=q.window or r.size, retrieve=tuple(windows(c) for c in q.retrieve))
+            return replace(q, window=q.window or _bounded(max(r.size, 1), "size"), retrieve=tuple(windows(c) for c in q.retrieve))
         if isinstance(q, CrossEncoder):
-            return replace(q, window=q.window or r.size, retrieve=windows(q.retrieve))
+            return replace(q, window=q.window or _bounded(max(r.size, 1), "size"), retrieve=windows(q.retrieve))
         return q
 
     q = windows(r.query)
     if isinstance(q, (Knn, Semantic)) and q.k is None:
-        q = replace(q, k=r.size)
+        q = replace(q, k=_bounded(max(r.size, 1), "size"))
     if r.sort and isinstance(q, (Rrf, CrossEncoder)):
         raise UserError("reranked results can't be sorted by fields")
     return replace(r, query=q)

@@ -25,6 +25,7 @@ class Url:
 
     scheme: str
     path: str
+    settings: tuple[tuple[str, str], ...] = ()
 
 
 def parse_url(x: str | dict) -> Url:
@@ -33,7 +34,10 @@ def parse_url(x: str | dict) -> Url:
         s = x.get("s3")
         if not s or "bucket" not in s:
             raise UserError(f"bad location {x!r}")
-        return Url("s3", f"s3a://{s['bucket']}/{s.get('prefix', '').lstrip('/')}")
+        # of this bucket only: other locations keep the session's settings
+        own = {"endpoint": s.get("endpoint"), "endpoint.region": s.get("region"), "path.style.access": "true" if s.get("endpoint") else None}
+        settings = tuple((f"fs.s3a.bucket.{s['bucket']}.{k}", v) for k, v in own.items() if v)
+        return Url("s3", f"s3a://{s['bucket']}/{s.get('prefix', '').lstrip('/')}", settings)
     if m := re.match(r"^(https?)://", x):
         return Url(m[1], x)
     if m := re.match(r"^s3a?://([^/]+)/?(.*)$", x):
@@ -84,6 +88,10 @@ def _lines(spark: SparkSession, url: Url, recursive: bool) -> DataFrame:
             raise UserError("HTTP locations can't be listed")
         with urllib.request.urlopen(url.path, timeout=60) as r:  # noqa: S310
             return payload_lines(spark, decode_payload(r.read()))
+    for k, v in url.settings:
+        spark._jsc.hadoopConfiguration().set(k, v)
+    if packed := _packed(spark, url.path):
+        return _unpacked(spark, packed, recursive)
     reader = spark.read.option("recursiveFileLookup", recursive)
     first = reader.option("wholetext", False).text(url.path).where("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1)).first()
     if first is None:
@@ -98,6 +106,51 @@ def _lines(spark: SparkSession, url: Url, recursive: bool) -> DataFrame:
     raise UserError("documents must be a JSON array or one JSON object a line")
 
 
+#: Endings by which Spark's own text reader unpacks a file.
+_KNOWN = (".gz", ".bz2", ".deflate")
+
+
+def _packed(spark: SparkSession, path: str) -> str | None:
+    """The location, if its first file is packed (by its first bytes) in a way that its name doesn't tell Spark."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    if found is None or not len(found):
+        return None
+    s = found[0]
+    if s.isDirectory():
+        files = [x for x in fs.listStatus(s.getPath()) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+        if not files:
+            return None
+        s = files[0]
+    if s.getPath().getName().endswith(_KNOWN):
+        return None
+    stream = fs.open(s.getPath())
+    try:
+        head = bytes(b & 0xFF for b in (stream.read() for _ in range(4)) if b >= 0)
+    finally:
+        stream.close()
+    return path if head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head == b"\x28\xb5\x2f\xfd" else None
+
+
+def _unpacked(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """(value, _order) of packed files, each unpacked whole by one task, as no other part of it can be read by itself."""
+    import pyarrow as pa
+
+    def unpack(batches):
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                docs = decode_payload(raw)
+                for k in range(0, len(docs), 4096):
+                    part = [json.dumps(d) for d in docs[k : k + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), pa.array(part)], names=["file", "place", "value"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
+    lines = files.mapInArrow(unpack, "file string, place long, value string")
+    return lines.select("value", F.struct(F.col("file").alias("file_path"), F.col("place").alias("file_block_start")).alias("_order"))
+
+
 def payload_lines(spark: SparkSession, docs: list[dict]) -> DataFrame:
     return spark.createDataFrame([(json.dumps(d),) for d in docs], "value string")
 

@@ -153,3 +153,54 @@ def test_versions_and_policies(spark, tmp_path):
     with pytest.raises(UserError):
         store.to_merge(m, "nonesuch")
     assert i.flush() == 0 and i.docs().where(F.col("_id") == "5").count() == 1
+
+
+def test_packed_files_by_their_first_bytes(spark, tmp_path):
+    import bz2
+    import gzip
+
+    import zstandard
+
+    body = b'{"_id": 1, "title": "one"}\n{"_id": 1, "title": "two"}\n'
+    for k, raw in enumerate((gzip.compress(body), bz2.compress(body), zstandard.ZstdCompressor().compress(body), body)):
+        path = tmp_path / f"docs{k}.jsonl"
+        path.write_bytes(raw)
+        i = index(spark, tmp_path / f"i{k}")
+        i.add_files(f"file://{path}")
+        assert i.flush() == 1 and i.search({"fields": ["title"]})["hits"][0]["title"] == "two", k
+
+
+def test_settings_caches_and_metrics(spark, tmp_path, monkeypatch):
+    from docquarry.engine import Engine, settings
+    from docquarry.models import CachedEmbedder, HashEmbedder, Models
+    from docquarry.sources.readers import parse_url
+
+    monkeypatch.setenv("DOCQUARRY_CORE_PORT", "9000")
+    assert settings({"core": {"port": 1, "host": "h"}})["core"] == {"host": "h", "port": 9000, "loglevel": "warn", "cache_dir": None}
+    with pytest.raises(UserError):
+        settings({"searcher": {"nope": 1}})
+    asked = []
+
+    class Spy(HashEmbedder):
+        def embed(self, texts, task="raw"):
+            asked.append(list(texts))
+            return super().embed(texts, task)
+
+    c = CachedEmbedder(Spy(8), most=2)
+    assert (c.embed(["a", "b", "a"]) == HashEmbedder(8).embed(["a", "b", "a"])).all() and asked == [["a", "b"]]
+    c.embed(["a"]), c.embed(["c"]), c.embed(["a"]), c.embed(["b"])
+    assert asked == [["a", "b"], ["c"], ["b"]]
+    m = Models.parse({"embedding": {"x": {"provider": "hash", "cache": {"inmem": {"max_size": 5}}}, "y": {"provider": "hash", "cache": False}}})
+    assert m.embedding["x"].most == 5 and isinstance(m.embedding["y"], HashEmbedder)
+    u = parse_url({"s3": {"bucket": "b", "prefix": "p", "endpoint": "http://h:1", "region": "r"}})
+    assert u.path == "s3a://b/p" and dict(u.settings) == {"fs.s3a.bucket.b.endpoint": "http://h:1", "fs.s3a.bucket.b.endpoint.region": "r", "fs.s3a.bucket.b.path.style.access": "true"}
+    e = Engine(spark, {"schema": {"x": {"fields": FIELDS}}}, f"file://{tmp_path}")
+    e.index("x").add([{"_id": 1, "title": "a"}])
+    e.index("x").flush()
+    took = e.index("x").search({})["took"]
+    assert set(took) == {"total", "request", "open", "plan", "search", "fetch", "agg"}
+    text = e.metrics_text()
+    assert 'docquarry_docs{index="x"} 1\n' in text and "# TYPE docquarry_search_seconds counter" in text
+    for bad in ({"query": {"knn": {"field": "v", "query_vector": [1], "k": 20_000}}}, {"query": {"rrf": {"retrieve": [{"match_all": {}}], "rank_window_size": 20_000}}}):
+        with pytest.raises(UserError):
+            e.index("x").search(bad)
