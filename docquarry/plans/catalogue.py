@@ -14,6 +14,7 @@ from docquarry.models import Models, OverlapRanker
 from docquarry.operators import aggs, rag, suggest
 from docquarry.plans import dsl
 from docquarry.plans.search import Search, corpus_of
+from docquarry.sources.readers import spread
 
 _LEX = {"type": "text", "search": {"lexical": {"analyze": "generic"}}, "facet": True, "filter": True}
 _ALL = {"filter": True, "facet": True, "sort": True}
@@ -26,7 +27,7 @@ def _f(kind: str, **more) -> dict:
 
 
 def _table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet").withColumnRenamed(key, "_id")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet")).withColumnRenamed(key, "_id")
 
 
 def _search(docs: DataFrame, fields: dict, request: dict) -> Search:
@@ -513,7 +514,7 @@ def ingest_delete_by_filter(spark, sf):
 def index_match_top(spark, sf):
     """Through an index with postings: texts are analysed when it is written, the query reads its terms' row groups."""
     i = _index(spark, {"text": {"type": "text", "search": {"lexical": {"analyze": "generic"}}}})
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("_id"), "text", F.col("doc_id").alias("_order"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select(F.col("doc_id").cast("string").alias("_id"), "text", F.col("doc_id").alias("_order"))
     i.add_documents(docs)
     i.flush()
     found = i.plan({"query": {"match": {"text": "license the of"}}, "size": 40}).hits()

@@ -229,6 +229,33 @@ def read_files(spark: SparkSession, location: str | dict, m: Mapping, recursive:
     return documents(_lines(spark, parse_url(location), recursive), m)
 
 
+#: Tables below so many bytes aren't worth spreading.
+SPREAD_LEAST = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small Parquet table with its rows on all cores, where its files have fewer row groups than there are cores.
+
+    A row group is read by one task, so a table in one group would keep all but one core idle. Tables of a split for each core or
+    more come back as they are, and what is shuffled is less than that.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if not SPREAD_LEAST <= size <= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    groups = 0
+    for uri in df.inputFiles():
+        system, path = fs.FileSystem.from_uri(uri)
+        groups += pq.ParquetFile(path, filesystem=system).num_row_groups
+        if groups >= cores:
+            return df
+    return df.repartition(cores)
+
+
 def kafka_options(topic: str, servers: list[str], offset: str | None = None, options: dict | None = None, now_ms: int | None = None) -> dict[str, str]:
     """Settings of Spark's Kafka source. offset: latest, earliest, ``ts=<ms>``, ``last=<n>[smhd]`` or None (committed, else earliest)."""
     out = {"subscribe": topic, "kafka.bootstrap.servers": ",".join(servers)} | {f"kafka.{k}": str(v) for k, v in (options or {}).items()}
