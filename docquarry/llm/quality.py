@@ -112,7 +112,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules=RULES, stop_words:
     """Each row of ``docs`` with the measures, ``base_failed`` and ``kept``.
 
     Nulls: a null text has no words, so it fails the base rule; other columns, null or not, pass through untouched. Empty
-    texts fail likewise. Repeated rows are judged one by one; an empty table gives an empty table. Columns named
+    texts fail likewise. ``n_repeat_words`` compares 3-word windows by 64-bit hashes: two different windows of a text of a million
+    words agree with a probability of about 3e-8. Texts of any length are judged whole. Repeated rows are judged one by one; an empty table gives an empty table. Columns named
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed`` or ``kept`` in the
     input are replaced by the computed ones.
     """
