@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.errors import UserError
+from docquarry.functions.vectors import codes
 from docquarry.mapping import Mapping
 from docquarry.models import Models
 from docquarry.operators import aggs, filters, rag, suggest
-from docquarry.operators.retrieve import Postings, length_column, lexical_terms, vector_column
+from docquarry.operators.retrieve import Postings, codes_column, length_column, lexical_terms, vector_column
 from docquarry.plans import dsl
 from docquarry.plans.search import Search, corpus_of
 from docquarry.sources import store
@@ -81,6 +82,10 @@ class Index:
         if m is None or not m.segments:
             return empty
         docs = store.documents(self.client, m)
+        # codes count only where all segments have them: the mapping may have asked for others, or none, before
+        for f in self.mapping.fields.values():
+            if f.semantic is not None and (c := codes_column(f.name, f.semantic.quantize)) in docs.columns and not all(f'"{c}"' in s.schema for s in m.segments):
+                docs = docs.drop(c)
         return docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty.schema if f.name not in docs.columns})
 
     def add(self, docs: list[dict]) -> None:
@@ -183,7 +188,7 @@ class Index:
 
     def _append(self, m: store.Manifest, fresh: DataFrame) -> None:
         """A segment of new documents with postings of their lexical fields."""
-        docs = self._embedded(fresh)
+        docs = self._quantised(self._embedded(fresh))
         lexical = [n for n in docs.columns if not n.startswith("_") and "__" not in n and (f := self.mapping.resolve(n)) is not None and f.lexical]
         terms = None
         if lexical:
@@ -226,6 +231,15 @@ class Index:
         self._publish(store.listed(self.client, m, old))
         self.metrics["merges"] += 1
 
+    def _quantised(self, docs: DataFrame) -> DataFrame:
+        """Codes of vectors beside them, where the mapping asks for quantisation; whole vectors stay for changes of the mapping."""
+        for f in self.mapping.fields.values():
+            if f.semantic is not None and f.semantic.quantize != "float32" and (v := vector_column(f.name)) in docs.columns:
+                kind = f.semantic.quantize
+                own = F.transform(F.col(f"`{v}`"), lambda x: codes(x, kind)) if f.is_list else codes(F.col(f"`{v}`"), kind)  # noqa: B023
+                docs = docs.withColumn(codes_column(f.name, kind), own)
+        return docs
+
     def _embedded(self, docs: DataFrame) -> DataFrame:
         """Vectors of semantic fields that came without; each distinct text is embedded once."""
         for f in [f for f in self.mapping.fields.values() if f.semantic is not None and f.semantic.model and f.name in docs.columns]:

@@ -22,15 +22,31 @@ def similarity(v: Column, q: list[float], distance: str) -> Column:
     return (1 + F.coalesce(dot(v, q) / F.nullif(own * F.lit(norm), F.lit(0.0)), F.lit(0.0) * dot(v, q))) / 2
 
 
-def quantize(v: Column, kind: str) -> Column:
-    """The vector as a quantised copy would give it back: int8 and int4 by the largest component, int1 by sign."""
-    if kind == "float32":
-        return v.cast("array<float>")
+#: Largest code by kind of quantisation.
+STEPS = {"int8": 127, "int4": 7, "int1": 1}
+
+
+def codes(v: Column, kind: str) -> Column:
+    """(q, scale): a vector as whole numbers of one byte and what one of them stands for; int8 and int4 by the largest component, int1
+    by sign. Null stays null."""
     if kind == "int1":
-        return F.transform(v, lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
-    steps = {"int8": 127.0, "int4": 7.0}[kind]
+        q, scale = F.transform(v, lambda x: F.when(x > 0, 1).otherwise(-1).cast("tinyint")), F.lit(1.0)
+    else:
+        steps = float(STEPS[kind])
+
+        def scaled(top: Column) -> Column:
+            return F.transform(v, lambda x: F.when(top == 0, F.lit(0.0)).otherwise(F.round(x.cast("double") * steps / top)).cast("tinyint"))
 
-    def scaled(top: Column) -> Column:
-        return F.transform(v, lambda x: F.when(top == 0, F.lit(0.0)).otherwise(F.round(x.cast("double") * steps / top) * top / steps))
+        top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+        q, scale = F.transform(F.array(top), scaled)[0], top / steps
+    return F.when(v.isNotNull(), F.struct(q.alias("q"), scale.alias("scale")))
 
-    return F.transform(F.array(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))), scaled)[0]
+
+def restored(stored: Column) -> Column:
+    """The vector that stored codes stand for."""
+    return F.transform(stored["q"], lambda x: x.cast("double") * stored["scale"])
+
+
+def quantize(v: Column, kind: str) -> Column:
+    """The vector as a quantised copy gives it back."""
+    return v.cast("array<float>") if kind == "float32" else restored(codes(v, kind))

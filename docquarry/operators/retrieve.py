@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docquarry.errors import UserError
 from docquarry.functions.text import analyze, analyze_query
-from docquarry.functions.vectors import quantize, similarity
+from docquarry.functions.vectors import quantize, restored, similarity
 from docquarry.mapping import Mapping
 from docquarry.operators.filters import column
 from docquarry.plans import dsl
@@ -28,14 +28,14 @@ from docquarry.plans import dsl
 K1, B = 1.2, 0.75
 
 
-def terms_column(name: str) -> str:
-    return f"{name}__terms"
-
-
 def vector_column(name: str) -> str:
     return f"{name}__vec"
 
 
+def codes_column(name: str, kind: str) -> str:
+    return f"{name}__{kind}"
+
+
 def length_column(name: str) -> str:
     return f"{name}__len"
 
@@ -73,8 +73,7 @@ class Corpus:
     postings: Postings | None = None
 
     def terms(self, name: str) -> Column:
-        stored = terms_column(name)
-        return F.col(f"`{stored}`") if stored in self.docs.columns else lexical_terms(self.mapping, name)
+        return lexical_terms(self.mapping, name)
 
     def stats(self, wanted: dict[str, set[str]]) -> None:
         """One aggregate over all documents for every field and term that a query names and isn't known yet."""
@@ -244,5 +243,8 @@ def nearest(corpus: Corpus, q: Any, where: Column | None) -> DataFrame:
     docs = corpus.docs if where is None else corpus.docs.where(where)
     v = F.col(f"`{vector_column(q.field)}`")
     own = lambda x: similarity(quantize(x, f.semantic.quantize), vector, f.semantic.distance)
+    if f.semantic.quantize != "float32" and (stored := codes_column(q.field, f.semantic.quantize)) in docs.columns:
+        # the codes alone are read, a byte for each component
+        v, own = F.col(f"`{stored}`"), lambda x: similarity(restored(x), vector, f.semantic.distance)
     score = F.array_max(F.transform(v, own)) if f.is_list else own(v)
     return docs.select("_id", "_seq", score.alias("_score")).where("_score is not null").orderBy(F.desc("_score"), "_seq").limit(final).select("_id", "_score")
