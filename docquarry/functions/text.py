@@ -1,4 +1,4 @@
-"""Analyzers: text to terms, as column expressions (the English stemmer alone needs Python, once per distinct term)."""
+"""Analyzers: text to terms, as column expressions. The English stemmer alone needs Python, once for each distinct term of a batch."""
 
 from __future__ import annotations
 
@@ -107,6 +107,50 @@ def porter(w: str) -> str:
     return w
 
 
+#: Light stemmers: signs to replace, then steps, of each of which the first rule that fits applies. Rules say what is kept of a word.
+_PLAIN = ("àáâäèéêëìíîïòóôöùúûü", "aaaaeeeeiiiioooouuuu")
+STEMMERS: dict[str, tuple[tuple[str, str], tuple[tuple[tuple[str, str], ...], ...]]] = {
+    "de": (("äàáâöòóôïìíîüùúû", "aaaaooooiiiiuuuu"), (
+        (("^(.{3,})ern$", "$1"), ("^(.{3,})e[mnrs]$", "$1"), ("^(.{3,})e$", "$1"), ("^(.{2,}[bdfghklmnt])s$", "$1")),
+        (("^(.{3,})est$", "$1"), ("^(.{3,})e[rn]$", "$1"), ("^(.{2,}[bdfghklmnt])st$", "$1")),
+    )),
+    "es": (_PLAIN, ((("^(?=.{5})(.*)[oae]$", "$1"), ("^(?=.{5})(.*es)es$", "$1"), ("^(?=.{5})(.*)ces$", "$1z"), ("^(?=.{5})(.*)[oae]s$", "$1")),)),
+    "it": (_PLAIN, ((("^(?=.{6})(.*?)(?:[ih]?e|[hi]?i|i?a|i?o)$", "$1"),),)),
+    "fr": (("", ""), ((("^(?=.{6})(.*)aux$", "$1al"), ("^(?=.{6})(.*)x$", "$1"), (r"^(?=.{6})(.+?)([^0-9_'’.])\2?é?e?r?s?$", "$1$2")),)),
+    "sv": (("", ""), (
+        (("^(.{4,})s$", "$1"),),
+        (
+            ("^(.{3,})(?:elser|heten)$", "$1"), ("^(.{3,})(?:arne|erna|ande|else|aste|orna|aren)$", "$1"), ("^(.{3,})(?:are|ast|het)$", "$1"),
+            ("^(.{3,})(?:ar|er|or|en|at|te|et)$", "$1"), ("^(.{3,})[taen]$", "$1"),
+        ),
+    )),
+}
+
+
+def _light(word: Column, code: str) -> Column:
+    """A word's stem, in column expressions."""
+    (old, new), steps = STEMMERS[code]
+    out = F.translate(word, old, new) if old else word
+    for rules in steps:
+        c = out
+        for pattern, kept in reversed(rules):
+            c = F.when(out.rlike(pattern), F.regexp_replace(out, pattern, kept)).otherwise(c)
+        out = c
+    return out
+
+
+def light_stem(word: str, code: str) -> str:
+    """The same, on the driver."""
+    (old, new), steps = STEMMERS[code]
+    word = word.translate(str.maketrans(old, new))
+    for rules in steps:
+        for pattern, kept in rules:
+            if re.search(pattern, word):
+                word = re.sub(pattern, kept.replace("$", "\\"), word)
+                break
+    return word
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_lists(terms: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
@@ -135,6 +179,8 @@ def analyze(text: Column, analyzer: str = "generic") -> Column:
     stops = stop_words(code)
     if stops:
         terms = F.filter(terms, lambda x: ~x.isin(stops))
+    if code in STEMMERS:
+        return F.transform(terms, lambda x: _light(x, code))
     return _stem_lists(terms) if code == "en" else terms
 
 
@@ -149,6 +195,8 @@ def analyze_query(text: str, analyzer: str = "generic") -> list[str]:
         terms = [re.sub("['’]s$", "", x) for x in terms]
     stops = set(stop_words(code))
     terms = [x for x in terms if x not in stops]
+    if code in STEMMERS:
+        return [light_stem(x, code) for x in terms]
     return [porter(x) for x in terms] if code == "en" else terms
 
 

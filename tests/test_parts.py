@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.engine import Index
 from docquarry.errors import UserError
 from docquarry.functions import geo
-from docquarry.functions.text import analyze, analyze_query, porter, word_ngrams
+from docquarry.functions.text import analyze, analyze_query, light_stem, porter, word_ngrams
 from docquarry.mapping import Mapping
 from docquarry.models import HttpEmbedder, Models, logits, pool
 from docquarry.operators import filters
@@ -64,6 +64,20 @@ def test_porter(word, stem):
     assert porter(word) == stem
 
 
+@pytest.mark.parametrize("code, pairs", [
+    ("de", "kindern:kind häuser:haus schönsten:schon autos:autos haus:haus freundlichen:freundlich tages:tag besst:besst"),
+    ("es", "casas:cas niños:niñ veces:vez meses:mes sol:sol camión:camion grande:grand"),
+    ("it", "ragazze:ragazz amiche:amic libri:libri bottega:botteg orologio:orolog"),
+    ("fr", "chevaux:cheval parlers:parl donnés:don bijoux:bijou petite:petit chat:chat belles:bel 180000:180000"),
+    ("sv", "flickorna:flick husens:hus bilar:bil snabbast:snabb"),
+])
+def test_light_stemmers(spark, code, pairs):
+    words = [p.split(":") for p in pairs.split()]
+    assert [light_stem(w, code) for w, _ in words] == [s for _, s in words]
+    df = spark.createDataFrame([(w,) for w, _ in words], "t string")
+    assert [r[0] for r in df.select(analyze(F.col("t"), code)).collect()] == [analyze_query(w, code) for w, _ in words]
+
+
 def test_ngrams(spark):
     got = spark.range(1).select(word_ngrams(F.array(*[F.lit(x) for x in "hello world foo bar".split()]), 1, 3)).first()[0]
     assert got == ["hello", "world", "foo", "bar", "hello world", "world foo", "foo bar", "hello world foo", "world foo bar"]
