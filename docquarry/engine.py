@@ -7,6 +7,7 @@ import os
 import time
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from docquarry.errors import UserError
 from docquarry.functions.vectors import codes
 from docquarry.mapping import Mapping
-from docquarry.models import Models
+from docquarry.models import Models, streamed
 from docquarry.operators import aggs, filters, rag, suggest
 from docquarry.operators.retrieve import Postings, codes_column, length_column, lexical_terms, vector_column
 from docquarry.plans import dsl
@@ -304,12 +305,29 @@ class Index:
         return out
 
     def answer(self, s: Search, r: dsl.Rag) -> str:
+        return "".join(self._answer(s, r, False))
+
+    def _answer(self, s: Search, r: dsl.Rag, stream: bool) -> Iterator[str]:
         model = self.models.get("completion", r.model)
         top = s.top(s.request.query, r.top_docs)
         fields = [f for f in r.fields or s.corpus.present if s.corpus.mapping.resolve(f) and f in s.corpus.present]
         rows = rag.context(top, self.mapping, fields, r.max_doc_length).orderBy(F.desc("_score"), "_seq").select("context").collect()
         self.metrics["answers"] += 1
-        return model.complete(rag.prompt(r.prompt, [x["context"] for x in rows]), r.max_response_length)
+        prompt = rag.prompt(r.prompt, [x["context"] for x in rows])
+        yield from streamed(model, prompt, r.max_response_length) if stream else [model.complete(prompt, r.max_response_length)]
+
+    def search_stream(self, request: dict) -> Iterator[dict]:
+        """The response without its answer, then the answer's parts as they arrive, each with its time, the last one marked."""
+        parsed = dsl.parse_search(request)
+        if parsed.rag is None:
+            raise UserError("only requests for an answer are streamed")
+        yield {"results": self.search({k: v for k, v in request.items() if k != "rag"})}
+        began = time.time()
+        for part in self._answer(Search(self.corpus(), parsed, self.models), parsed.rag, True):
+            now = time.time()
+            yield {"rag": {"token": part, "took": now - began, "last": False}}
+            began = now
+        yield {"rag": {"token": "", "took": time.time() - began, "last": True}}
 
     def suggest(self, request: dict) -> list[dict]:
         began = time.time()

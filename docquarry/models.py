@@ -11,7 +11,7 @@ import re
 import time
 import urllib.request
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -221,6 +221,43 @@ class EchoCompleter:
         return " ".join(prompt.strip().splitlines()[-1].split()[:max_tokens]) if prompt.strip() else ""
 
 
+@dataclass
+class HttpCompleter:
+    """A model server that speaks the chat completions protocol; streamed answers arrive as server-sent events."""
+
+    endpoint: str
+    model: str
+    key_env: str = ""
+    timeout: float = 120.0
+
+    def _open(self, prompt: str, max_tokens: int, stream: bool) -> Any:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": max_tokens, "temperature": 0, "stream": stream}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ.get(self.key_env, '')}"} if self.key_env else {})
+        return urllib.request.urlopen(urllib.request.Request(self.endpoint, json.dumps(body).encode(), headers), timeout=self.timeout)  # noqa: S310
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        with self._open(prompt, max_tokens, False) as r:
+            return json.load(r)["choices"][0]["message"]["content"]
+
+    def stream(self, prompt: str, max_tokens: int) -> Iterator[str]:
+        """Parts of the answer as they arrive."""
+        with self._open(prompt, max_tokens, True) as r:
+            for line in r:
+                data = line.decode().strip().removeprefix("data:").strip() if line.startswith(b"data:") else ""
+                if data == "[DONE]":
+                    return
+                if data and (part := json.loads(data)["choices"][0].get("delta", {}).get("content")):
+                    yield part
+
+
+def streamed(model: Completer, prompt: str, max_tokens: int) -> Iterator[str]:
+    """An answer in parts; in one where the model can't give parts."""
+    if hasattr(model, "stream"):
+        yield from model.stream(prompt, max_tokens)
+    else:
+        yield model.complete(prompt, max_tokens)
+
+
 @dataclass
 class Models:
     """Configured models by name."""
@@ -242,7 +279,7 @@ class Models:
                 "cohere": lambda **k: HttpEmbedder("cohere", **({"endpoint": "https://api.cohere.com/v2/embed", "key_env": "COHERE_KEY"} | k)),
             },
             "ranker": {"overlap": OverlapRanker, "onnx": OnnxRanker},
-            "completion": {"echo": EchoCompleter},
+            "completion": {"echo": EchoCompleter, "http": HttpCompleter},
         }
         out: dict[str, dict] = {}
         for section, kinds in make.items():

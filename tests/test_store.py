@@ -239,3 +239,48 @@ def test_quantised_vectors_are_stored(spark, tmp_path, kind):
     again.add([{"_id": 7, "v": {"text": "x", "embedding": vector()}}])
     again.flush()
     assert len(again.search({"query": {"knn": {"field": "v", "query_vector": q, "k": 40}}, "size": 40})["hits"]) == 31
+
+
+def test_answers_of_a_model_server(spark, tmp_path):
+    """A server on this machine: whole and streamed answers."""
+    import http.server
+    import threading
+
+    from docquarry.models import EchoCompleter, HttpCompleter, Models
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            self.send_response(200)
+            self.end_headers()
+            if body["stream"]:
+                for part in ("red ", "dress"):
+                    self.wfile.write(b"data: " + json.dumps({"choices": [{"delta": {"content": part}}]}).encode() + b"\n\n")
+                self.wfile.write(b": a comment\n\ndata: [DONE]\n\n")
+            else:
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": "whole"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        m = Models.parse({"completion": {"m": {"provider": "http", "endpoint": f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "model": "x"}, "e": {"provider": "echo"}}})
+        assert isinstance(m.get("completion", "m"), HttpCompleter) and isinstance(m.get("completion", "e"), EchoCompleter)
+        i = Index(spark, Mapping.parse("t", {"fields": {"title": LEX}}), f"file://{tmp_path}", m)
+        i.add([{"_id": 1, "title": "red dress"}])
+        i.flush()
+        request = {"query": {"match": {"title": "dress"}}, "rag": {"prompt": "Which?", "model": "m", "fields": ["title"], "maxResponseLength": 9}}
+        assert i.search(request)["response"] == "whole" and seen[0]["max_tokens"] == 9 and "title: red dress" in seen[0]["messages"][0]["content"]
+        first, *rest = list(i.search_stream(request))
+        assert first["results"]["hits"][0]["_id"] == "1" and [x["rag"]["token"] for x in rest] == ["red ", "dress", ""] and [x["rag"]["last"] for x in rest] == [False, False, True]
+        request["rag"]["model"] = "e"
+        assert [x["rag"]["token"] for x in list(i.search_stream(request))[1:]] == ["title: red dress", ""]
+        with pytest.raises(UserError):
+            next(i.search_stream({}))
+    finally:
+        server.shutdown()
