@@ -9,7 +9,7 @@
    least two elements of the prefix that is one longer. Light sets (n <= boundary) meet by the 2-element subsets of the
    longer prefix; pairs with a heavy set meet by scanning the inverted lists of the prefix elements. The boundary is the size
    at which enumerating subsets and scanning lists cost least in total, from counts by size. A posting carries the elements before
-   it, so a pair is given only at the first element (or two) that both have, once in all.
+   it, up to ``BEFORE`` of them, so a pair is given at the first element (or two) that both have, and not again at the next ones.
 4. Candidates are gathered by pairs of buckets (sets with equal smallest hash, split by documents and by elements) and checked on the
    shared elements of both sets. Each set is sent once to each pair of buckets in which it has candidates, not once to each candidate.
 5. A pair of buckets gives sums of links by document and, for components, its links without those between documents that two
@@ -33,9 +33,11 @@ SHINGLE, PERCENT = 5, 80
 LIGHT_MOST = 64
 #: Posting lists are split into parts of about this many documents; a bucket of candidates has about so many documents and elements at most.
 LIST_PART, BUCKET, BUCKET_ELEMENTS = 512, 128, 1 << 18
+#: Elements before it that a posting carries; pairs that meet behind so many may meet again, and are told apart when they are gathered.
+BEFORE = 64
 #: Documents of the sample that shows frequent shingles; how many of them (and which share) such a shingle stands in; tasks that it is
 #: spread over; most shingles that are treated so, the most frequent first (the others stay whole).
-HOT_SAMPLE, HOT_LEAST, HOT_SHARE, HOT_TASKS, HOT_MOST = 20_000, 40, 0.002, 1024, 100_000
+HOT_SAMPLE, HOT_LEAST, HOT_SHARE, HOT_TASKS, HOT_MOST = 5_000, 20, 0.004, 1024, 100_000
 #: Ids are broadcast up to this many; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -96,13 +98,14 @@ def _entries(reps: DataFrame, sizes: DataFrame, percent: int, frequent: DataFram
     )
 
 
-def bucketed(entries: DataFrame) -> DataFrame:
-    """``entries`` with k, the bucket of each set."""
-    low = entries.select("doc", "n", F.array_min("arr").alias("low"))
-    parts = F.greatest(F.lit(1), F.ceil(F.count("*") / BUCKET), F.ceil(F.sum("n") / BUCKET_ELEMENTS)).cast("int")
-    per = low.groupBy("low").agg(parts.alias("split"))
-    bucket = low.join(per, "low").select("doc", F.xxhash64("low", F.pmod(F.xxhash64("doc"), F.col("split"))).alias("k"))
-    return entries.join(bucket, "doc")
+def bucketed(entries: DataFrame, folder: str) -> DataFrame:
+    """``entries`` with k, the bucket of each set: those of equal smallest element, split where they are many or large."""
+    placed = entries.withColumn("low", F.array_min("arr"))
+    parts = F.greatest(F.ceil(F.count("*") / BUCKET), F.ceil(F.sum("n") / BUCKET_ELEMENTS)).cast("int")
+    split = written(placed.groupBy("low").agg(parts.alias("split")).where("split > 1"), folder, "split")
+    split = F.broadcast(split) if split.count() <= BROADCAST_IDS else split.hint("merge")
+    k = F.xxhash64("low", F.pmod(F.xxhash64("doc"), F.coalesce("split", F.lit(1))))
+    return placed.join(split, "low", "left").withColumn("k", k).drop("low", "split")
 
 
 def boundary(entries: DataFrame) -> int:
@@ -124,7 +127,7 @@ def boundary(entries: DataFrame) -> int:
 def _met(posts: DataFrame, pair: Column) -> DataFrame:
     """Pairs (a < b) of documents that meet under a key h and under no key before it, with their buckets.
 
-    ``before``: what stands before the key. Long lists are split by the left document and copied on the right.
+    ``before``: what stands before the key; null where that is much. Long lists are split by the left document and copied on the right.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("df") / LIST_PART)).cast("int")
     own = ("doc", "n", "pos", "k", "before")
@@ -132,12 +135,12 @@ def _met(posts: DataFrame, pair: Column) -> DataFrame:
     right = posts.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in own])
     # a fixed number of partitions: what a list costs shows in pairs, not in the bytes by which small partitions would be joined
     n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = left.repartition(n, "h", "part").hint("merge").join(right.repartition(n, "h", "part"), ["h", "part"]).where("a_doc < b_doc").where(pair).where(~F.arrays_overlap("a_before", "b_before"))
+    met = left.repartition(n, "h", "part").hint("merge").join(right.repartition(n, "h", "part"), ["h", "part"]).where("a_doc < b_doc").where(pair).where(~F.coalesce(F.arrays_overlap("a_before", "b_before"), F.lit(False)))
     return met.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"), F.least("a_k", "b_k").alias("k"), F.greatest("a_k", "b_k").alias("k2"))
 
 
 def candidates(entries: DataFrame, percent: int, light: int) -> DataFrame:
-    """The pairs (a < b) that the filters leave, each once, with their buckets: a, b, k, k2."""
+    """The pairs (a < b) that the filters leave, with their buckets: a, b, k, k2; those with short prefixes once each."""
     a, b = F.col("a_n"), F.col("b_n")
     sizes_fit = 100 * F.least(a, b) >= percent * F.greatest(a, b)
     needed = F.ceil(percent * (a + b) / (100 + percent))
@@ -145,7 +148,7 @@ def candidates(entries: DataFrame, percent: int, light: int) -> DataFrame:
     heavy_posts = (
         entries.where(100 * F.col("n") >= percent * (light + 1))
         .select("doc", "n", "k", "alone", "arr", F.posexplode(F.arrays_zip(F.slice("arr", 1, F.col("pre")).alias("h"), F.slice("dfs", 1, F.col("pre")).alias("df"))).alias("at", "x"))
-        .select(F.col("x.h").alias("h"), F.col("x.df").alias("df"), "doc", "n", "k", (F.col("alone") + F.col("at")).alias("pos"), F.slice("arr", 1, F.col("at")).alias("before"))
+        .select(F.col("x.h").alias("h"), F.col("x.df").alias("df"), "doc", "n", "k", (F.col("alone") + F.col("at")).alias("pos"), F.when(F.col("at") <= BEFORE, F.slice("arr", 1, F.col("at"))).alias("before"))
     )
     heavy = _met(heavy_posts, sizes_fit & (room >= needed) & (F.greatest(a, b) > light))
     front = F.slice("arr", 1, F.col("pre") + 1)
@@ -168,15 +171,16 @@ def candidates(entries: DataFrame, percent: int, light: int) -> DataFrame:
 
 def gathered(pairs: DataFrame) -> DataFrame:
     """k, k2, pairs: the candidates of each pair of buckets."""
-    return pairs.groupBy("k", "k2").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    return pairs.groupBy("k", "k2").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
 
 
 def links(entries: DataFrame, work: DataFrame, percent: int) -> DataFrame:
     """k, k2, sets, links (array of a, b): the candidate pairs whose sets are similar; sets without their elements."""
     docs = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.array(p["a"], p["b"]))))
-    sent = work.select("k", "k2", F.explode(docs).alias("doc")).join(entries.select("doc", "n", "copies", "arr").hint("merge"), "doc").groupBy("k", "k2").agg(F.collect_list(F.struct("doc", "n", "copies", "arr")).alias("sets"))
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = work.repartition(n, "k", "k2").hint("merge").join(sent.repartition(n, "k", "k2"), ["k", "k2"]).withColumn("ids", F.transform("sets", lambda x: x["doc"]))
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as in _met
+    sent = work.select("k", "k2", F.explode(docs).alias("doc")).join(entries.select("doc", "n", "copies", "arr").hint("merge"), "doc").repartition(n, "k", "k2")
+    sent = sent.groupBy("k", "k2").agg(F.collect_list(F.struct("doc", "n", "copies", "arr")).alias("sets"))
+    both = work.repartition(n, "k", "k2").hint("merge").join(sent, ["k", "k2"]).withColumn("ids", F.transform("sets", lambda x: x["doc"]))
     at = lambda doc: F.get("sets", (F.array_position("ids", doc) - 1).cast("int"))
 
     def checked(p: Column) -> Column:
@@ -236,8 +240,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", perce
     reps = without(docs.where("doc_id is not null"), copies, "doc_id")
     sizes = members.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "n", "copies")
     frequent = _frequent(reps, sizes.count(), folder)
-    entries = written(bucketed(written(_entries(reps, sizes, percent, frequent), folder, "sets")), folder, "entries")
-    remove(spark, f"{folder}/sets")
+    entries = bucketed(written(_entries(reps, sizes, percent, frequent), folder, "entries"), folder)
     work = written(gathered(candidates(entries, percent, boundary(entries))), folder, "candidates")
     found = written(summed(links(entries, work, percent)), folder, "links")
     for name in ("entries", "candidates"):

@@ -87,7 +87,7 @@ def test_every_boundary_finds_the_same(spark):
     sizes = ngram_join._digest(d).select(F.col("doc_id").alias("doc"), "n", F.lit(1).alias("copies"))
     unique = d.join(ngram_join._digest(d).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi")
     frequent = ngram_join._frequent(unique, len(rows), shared_dir(spark))
-    e = ngram_join.bucketed(ngram_join._entries(unique, sizes, 80, frequent)).cache()
+    e = ngram_join.bucketed(ngram_join._entries(unique, sizes, 80, frequent), shared_dir(spark)).cache()
     found = []
     for light in (0, 10, 64):
         met = ngram_join.candidates(e, 80, light)
@@ -235,7 +235,7 @@ def test_quality_like_brute_force(spark, docs, texts):
 
 
 # ---- 4 -------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("rule", ["first", "last"])
+@pytest.mark.parametrize("rule", token_counts.RULES)
 def test_counts_by_line(docs, texts, rule):
     enc, got = library(BYTE), {}
     for r in token_counts.count_tokens(docs, BYTE, rule=rule).collect():
@@ -245,7 +245,10 @@ def test_counts_by_line(docs, texts, rule):
         starts = [0] + [m.end() for m in re.finditer("\n", t) if m.end() < len(t)]
         n = [0] * len(starts)
         for a, z in enc(t).offsets:
-            n[bisect.bisect_right(starts, a if rule == "first" else z - 1) - 1] += 1
+            first, last = (bisect.bisect_right(starts, x) - 1 for x in (a, z - 1))
+            edges = [a, *starts[first + 1 : last + 1], z]
+            sizes = [len(t[x:y].encode()) for x, y in itertools.pairwise(edges)]
+            n[{"first": first, "last": last, "most": first + sizes.index(max(sizes))}[rule]] += 1
         assert sorted(got[i]) == [(k, s, e, c) for k, (s, e, c) in enumerate(zip(starts, [*starts[1:], len(t)], n, strict=True))], i
 
 
@@ -636,6 +639,16 @@ def test_plan_is_best_on_small_cases():
         assert sum(k * v for k, v in packing.fullest(counts, room)) == max(sums)
 
 
+def test_clean_up_removes_all_intermediate_tables(spark):
+    from docquarry.llm import common
+
+    common.clean_up(spark)
+    folder = shared_dir(spark)
+    common.written(spark.range(3), folder, "x")
+    path = folder.removeprefix("file://")
+    assert os.path.isdir(path) and common.clean_up(spark) == 1 and not os.path.exists(path) and common.clean_up(spark) == 0
+
+
 # ---- the rest ------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("plain", [False, True])
 def test_encoders_like_the_library(texts, plain):
