@@ -1,9 +1,9 @@
 """License scans with a positional rare-token index of license notices.
 
 A notice counts as found where at least ``LEAST_SCORE`` of its words stand in order, in a stretch little longer than itself, with its
-key phrases, word by word, near their places. So of its n words at most a quarter may be missing, and of any n / 4 + ``LEAST_VOTES``
-words at least ``LEAST_VOTES`` stand. The index keeps just that many positions of each notice, those whose words have the highest
-inverse document frequencies among the notices. A file's words that it knows vote for (notice, file position - notice position); a
+key phrases, word by word, near their places. So of its n words at most a quarter may be missing, and of any n / 4 + v words at least
+v stand. The index keeps just that many positions of each notice (v grows with n), those whose words have the highest inverse
+document frequencies among the notices. A file's words that it knows vote for (notice, file position - notice position); a
 place with votes for enough positions, no further apart than the notice's slack allows, is verified. Tags that name an identifier
 are read as they stand.
 """
@@ -27,8 +27,9 @@ from docquarry.llm.license_texts import IDENTIFIERS, NOTICES
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrases that are counted wherever their words stand consecutively.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
-#: Share of a notice's words that must stand in order; votes that a place needs; a notice's slack is one for so many words.
-LEAST_SCORE, LEAST_VOTES, SLACK_SHARE = 0.75, 2, 12
+#: Share of a notice's words that must stand in order; votes that a place needs at least, and one for so many words; a notice's slack
+#: is one for so many words.
+LEAST_SCORE, LEAST_VOTES, VOTE_SHARE, SLACK_SHARE = 0.75, 2, 12, 12
 
 
 def words(text: str) -> list[bytes]:
@@ -101,23 +102,28 @@ class Index:
         self.need = []
         for k, x in enumerate(self.notices):
             missing = math.floor((1 - LEAST_SCORE) * x.n)
-            self.need.append(min(LEAST_VOTES, x.n - missing))
-            for q in sorted(range(x.n), key=lambda q: (-self.idf[x.words[q]], q))[: missing + LEAST_VOTES]:
+            self.need.append(min(max(LEAST_VOTES, x.n // VOTE_SHARE), x.n - missing))
+            for q in sorted(range(x.n), key=lambda q: (-self.idf[x.words[q]], q))[: missing + self.need[-1]]:
                 self.postings[x.words[q]].append((k, q))
         self.postings = dict(self.postings)
+        self.vocabulary = frozenset(self.postings)
         self.identifiers = sorted(((words(i), i) for i in IDENTIFIERS), key=lambda x: -len(x[0]))
         # the notices that hold each fixed phrase, and where
         self.around = {phrase: [(x, o) for x in self.notices if _stands(x.words, p, 0, x.n) for o in x._places(p)[:1]] for phrase, _ in BASE for p in [[w.encode() for w in phrase]]}
 
     def matches(self, ws: list[bytes]) -> list[tuple[str, float]]:
         """(label, share) of every notice that is verified somewhere in the file, and (label, 1) of every tag."""
+        out = dict(self._tags(ws))
+        # notices of which enough positions could be voted for by words that the file has at all: for most files none
+        known = self.vocabulary.intersection(ws)
+        most = Counter(k for w in known for k, _ in self.postings[w])
+        able = {k for k, n in most.items() if n >= self.need[k]}
+        postings = {w: own for w in known if (own := [x for x in self.postings[w] if x[0] in able])}
         votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        postings = self.postings
-        for p, w in enumerate(ws):
+        for p, w in enumerate(ws if postings else ()):
             if w in postings:
                 for k, q in postings[w]:
                     votes[k].append((p - q, q))
-        out = dict(self._tags(ws))
         for k, found in votes.items():
             if len(found) < self.need[k]:
                 continue
