@@ -129,26 +129,23 @@ class Index:
         m = store.Manifest(self.mapping, old.seqnum + 1 if old else 1, next_seq=old.next_seq if old else 0, batches=(old.batches if old else {}) | ({batch[0]: batch[1]} if batch else {}))
         m.segments, m.deletions, m.deleted = (list(old.segments), list(old.deletions), old.deleted) if old else ([], [], 0)
         m.totals = {k: list(v) for k, v in old.totals.items()} if old else {}
-        live, fresh, gone = self.docs(), None, []
+        live, fresh, gone = self.docs(), [], []
         for kind, x in self.pending:
             if kind == "add":
                 staged = self.spark.read.parquet(x)
-                whole = F.struct(*[F.col(f"`{c}`") for c in staged.columns])
-                last = staged.groupBy("_id").agg(F.max_by(whole, "_order").alias("d")).select("d.*")
+                ids = staged.select("_id")
                 if old and old.segments:
-                    gone.append(live.join(last.select("_id"), "_id", "left_semi"))
-                last = self._numbered(last, m)
-                fresh = last if fresh is None else fresh.join(last.select("_id"), "_id", "left_anti").unionByName(last, allowMissingColumns=True)
+                    gone.append(live.join(ids, "_id", "left_semi"))
+                fresh = [d.join(ids, "_id", "left_anti") for d in fresh] + [self._last(staged)]
             else:
                 hit = F.col("_id").isin(x) if kind == "ids" else F.lit(True) if x is None else x
                 if old and old.segments:
                     gone.append(live.where(hit))
-                if fresh is not None:
-                    known = self._empty().schema
-                    fresh = fresh.withColumns({f.name: F.lit(None).cast(f.dataType) for f in known if f.name not in fresh.columns}).where(~hit)
+                known = self._empty().schema
+                fresh = [d.withColumns({f.name: F.lit(None).cast(f.dataType) for f in known if f.name not in d.columns}).where(~hit) for d in fresh]
         if gone:
             self._delete(m, gone)
-        if fresh is not None:
+        if fresh:
             self._append(m, fresh)
         self._publish(store.listed(self.client, m, old))
         for kind, x in self.pending:
@@ -163,19 +160,27 @@ class Index:
         self.metrics["flush_seconds"] += time.time() - began
         return m.docs - (old.docs if old else 0)
 
+    def _last(self, staged: DataFrame) -> DataFrame:
+        """Of a batch's rows with one id the last one. Whole rows are moved only where an id comes twice."""
+        if staged.groupBy("_id").count().where("count > 1").isEmpty():
+            return staged
+        whole = F.struct(*[F.col(f"`{c}`") for c in staged.columns])
+        return staged.groupBy("_id").agg(F.max_by(whole, "_order").alias("d")).select("d.*")
+
     def _numbered(self, docs: DataFrame, m: store.Manifest) -> DataFrame:
         """``_seq`` in the order of arrival, above all numbers so far."""
-        path = f"{self.client.root}/_staging/{uuid.uuid4().hex}"
-        docs.orderBy("_order").drop("_order").withColumn("_seq", F.monotonically_increasing_id() + m.next_seq).write.parquet(path)
-        out = self.spark.read.parquet(path)
-        self.pending_folders.append(path)
-        m.next_seq = max(m.next_seq, (out.agg(F.max("_seq")).first()[0] or 0) + 1)
-        return out
+        return docs.orderBy("_order").drop("_order").withColumn("_seq", F.monotonically_increasing_id() + m.next_seq)
 
     def _delete(self, m: store.Manifest, gone: list[DataFrame]) -> None:
         """A list of deleted rows, if there are any; the totals lose what these had."""
-        names = [n for n in m.totals if all(length_column(n) in g.columns for g in gone)]
-        rows = reduce(DataFrame.union, [g.select("_seq", *[F.col(f"`{length_column(n)}`") for n in names]) for g in gone]).distinct()
+        names = list(m.totals)
+        # segments of earlier versions have lengths in columns of their documents, not among the postings
+        kept = [[F.col(f"`{length_column(n)}`") if length_column(n) in g.columns else F.lit(None).cast("long").alias(length_column(n)) for n in names] for g in gone]
+        rows = reduce(DataFrame.union, [g.select("_seq", *k) for g, k in zip(gone, kept, strict=True)]).distinct()
+        if names:
+            found = store.lengths(store.postings(self.client, self.manifest)).groupBy("_seq").agg(*[F.max(F.when(F.col("field") == n, F.col("n"))).alias(f"_len_{i}") for i, n in enumerate(names)])
+            both = [F.coalesce(F.col(f"`{length_column(n)}`"), F.col(f"_len_{i}")).alias(length_column(n)) for i, n in enumerate(names)]
+            rows = rows.join(found, "_seq", "left").select("_seq", *both)
         name = f"del-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.client.root}/{name}")
         r = self.spark.read.schema(rows.schema).parquet(f"{self.client.root}/{name}").agg(F.count("*"), *[x for n in names for x in _totals(F.col(f"`{length_column(n)}`"))]).first()
@@ -187,29 +192,32 @@ class Index:
         else:
             self.client.delete(name)
 
-    def _append(self, m: store.Manifest, fresh: DataFrame) -> None:
-        """A segment of new documents with postings of their lexical fields."""
-        docs = self._quantised(self._embedded(fresh))
-        lexical = [n for n in docs.columns if not n.startswith("_") and "__" not in n and (f := self.mapping.resolve(n)) is not None and f.lexical]
-        terms = None
-        if lexical:
-            each = F.array(*[F.struct(F.lit(n).alias("field"), lexical_terms(self.mapping, n).alias("terms")) for n in lexical])
-            analysed = docs.select("_seq", F.explode(each).alias("x")).select("_seq", "x.field", "x.terms", F.size("x.terms").cast("long").alias("n")).where("n > 0")
-            staged = f"{self.client.root}/_staging/{uuid.uuid4().hex}"  # texts are analysed once, for lengths and postings
-            analysed.write.parquet(staged)
-            self.pending_folders.append(staged)
-            analysed = self.spark.read.schema(analysed.schema).parquet(staged)
-            lengths = analysed.groupBy("_seq").agg(*[F.max(F.when(F.col("field") == n, F.col("n"))).alias(length_column(n)) for n in lexical])
-            docs = docs.join(lengths, "_seq", "left")
-            terms = analysed.select("field", F.explode("terms").alias("term"), "_seq", "n").groupBy("field", "term", "_seq", "n").agg(F.count("*").alias("tf")).select(*store.POSTINGS.names)
-            for r in analysed.groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).collect():  # a row for each field
-                had = m.totals.get(r["field"], [0, 0])
-                m.totals[r["field"]] = [had[0] + r["docs"], had[1] + r["terms"]]
-        segment = store.write_segment(self.client, docs, terms)
-        if segment.docs:
-            m.segments.append(segment)
-        else:
+    def _append(self, m: store.Manifest, fresh: list[DataFrame]) -> None:
+        """A segment of new documents, batch after batch, with postings of their lexical fields."""
+        schema = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.drop("_order") for d in fresh]).schema
+        name, modelled = f"seg-{uuid.uuid4().hex}", any(f.semantic is not None and f.semantic.model for f in self.mapping.fields.values())
+        path = f"{self.client.root}/{name}/docs"
+        for d in fresh:
+            docs = self._numbered(d.select("_order", *[(F.col(f"`{f.name}`") if f.name in d.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]), m)
+            if modelled:  # rows are joined to their vectors by what is numbered once
+                staged = f"{self.client.root}/_staging/{uuid.uuid4().hex}"
+                docs.write.parquet(staged)
+                self.pending_folders.append(staged)
+                docs = self._embedded(self.spark.read.parquet(staged))
+            docs = self._quantised(docs)
+            docs.write.mode("append").parquet(path)
+            out = self.spark.read.schema(docs.schema).parquet(path)
+            m.next_seq = max(m.next_seq, (out.agg(F.max("_seq")).first()[0] or 0) + 1)
+        lexical = [n for n in out.columns if not n.startswith("_") and "__" not in n and (f := self.mapping.resolve(n)) is not None and f.lexical]
+        segment = store.add_postings(self.client, name, out, {n: lexical_terms(self.mapping, n) for n in lexical})
+        if not segment.docs:
             self.client.delete(segment.name)
+            return
+        m.segments.append(segment)
+        written = self.spark.read.schema(store.POSTINGS).parquet(f"{self.client.root}/{name}/terms")
+        for r in store.lengths(written).groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).collect():  # a row for each field
+            had = m.totals.get(r["field"], [0, 0])
+            m.totals[r["field"]] = [had[0] + r["docs"], had[1] + r["terms"]]
 
     def _merge_policy(self) -> dict | str | None:
         return (self.mapping.config.get("indexer") or {}).get("merge_policy")

@@ -1,7 +1,7 @@
 """Index snapshots in any file system that Spark reaches: immutable segments, deletion lists, and numbered manifests.
 
-A version is what its manifest names: segments (documents, and postings of their lexical fields sorted by field and term), lists of
-deleted rows, and totals of each lexical field. A flush adds one segment and one list at most; nothing is rewritten but by merging.
+A version is what its manifest names: segments (documents, and postings of their lexical fields, each file sorted by field and term),
+lists of deleted rows, and totals of each lexical field. The postings of the empty term, which no text has, hold texts' lengths. A flush adds one segment and one list at most; nothing is rewritten but by merging.
 A manifest is written under a temporary name and renamed to a number that isn't there yet, so readers see the old version or
 the new one, and of two writers one is refused. The highest number is the current version.
 """
@@ -12,12 +12,15 @@ import json
 import tempfile
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquarry.errors import UserError
 from docquarry.mapping import Mapping
+from docquarry.sources.readers import spread
 
 MERGE_POLICIES = ("none", "tiered", "byte_size", "doc_count")
 #: Segments beyond which the tiered policy merges, and share of deleted rows beyond which it merges all.
@@ -190,11 +193,74 @@ def _live(client: StateClient, m: Manifest, rows: DataFrame) -> DataFrame:
     return rows.join(client.spark.read.schema("_seq long").parquet(*[f"{client.root}/{d}" for d in m.deletions]), "_seq", "left_anti")
 
 
-def write_segment(client: StateClient, docs: DataFrame, terms: DataFrame | None, files: int | None = None) -> Segment:
-    """A new segment. ``terms``: postings, sorted here by field and term, so that a reader takes the row groups of its terms only."""
+def lengths(rows: DataFrame) -> DataFrame:
+    """Of postings those that tell how many terms (n) a document's field has."""
+    return rows.where(F.col("term") == "")
+
+
+#: Terms of documents that are counted at once.
+AT_ONCE = 2_000_000
+
+
+def runs(docs: DataFrame, terms: dict[str, Column]) -> DataFrame:
+    """Postings of documents' fields (``terms``: field -> its terms). Those of the documents that a task reads are counted and sorted
+    by that task, so that nothing is shuffled: a term's postings lie in as many places as tasks read the documents."""
+    at_once = AT_ONCE
+
+    def counted(batches):
+        """Of some documents at a time: a row for each term, with its documents by ``_seq``, and one of the empty term for lengths."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def lists(kind, offsets, values):
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+        def pieces(b):
+            # here and not before: Spark would analyse texts once for the condition and once for the terms
+            b = b.filter(pc.greater(pc.list_value_length(b.column(1)), 0))
+            ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(ends):
+                end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, "right")))
+                yield b.slice(start, end - start)
+                start = end
+
+        for b in (p for whole in batches for p in pieces(whole)):
+            seq, words = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            n = words.value_lengths().to_numpy(zero_copy_only=False)
+            order = np.argsort(seq, kind="stable")
+            place = np.empty(len(seq), np.int64)
+            place[order] = np.arange(len(seq))
+            seq, sizes = seq[order], n[order]
+            coded = words.flatten().dictionary_encode()
+            # a number for each term and document: unique ones come out sorted by both
+            key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(seq) + np.repeat(place, n)
+            key, tf = np.unique(key, return_counts=True)
+            doc, starts = key % len(seq), np.searchsorted(key, np.arange(len(coded.dictionary) + 1) * len(seq))
+            for found, offsets, at, times in ((pa.array([""], coded.dictionary.type), [0, len(seq)], slice(None), sizes), (coded.dictionary, starts, doc, tf)):
+                columns = [found, lists(pa.int64(), offsets, seq[at]), lists(pa.int32(), offsets, times), lists(pa.int32(), offsets, sizes[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "seqs", "tfs", "ns"])
+
+    parts = []
+    for name, column in terms.items():
+        lists = docs.select("_seq", column.alias("terms")).mapInArrow(counted, "term string, seqs array<long>, tfs array<int>, ns array<int>").sortWithinPartitions("term", F.col("seqs")[0])
+        each = lists.select("term", "tfs", "ns", F.posexplode("seqs").alias("p", "_seq"))
+        parts.append(each.select(F.lit(name).alias("field"), "term", "_seq", F.col("tfs")[F.col("p")].cast("long").alias("tf"), F.col("ns")[F.col("p")].cast("long").alias("n")))
+    return reduce(DataFrame.union, parts)
+
+
+def add_postings(client: StateClient, name: str, docs: DataFrame, terms: dict[str, Column]) -> Segment:
+    """A new segment whose documents have been written; their postings are written beside."""
+    rows = runs(spread(docs), terms) if terms else client.spark.createDataFrame([], POSTINGS)
+    rows.write.parquet(f"{client.root}/{name}/terms")
+    return Segment(name, docs.count(), sum(f.size for f in client.files(f"{name}/docs")), docs.schema.json())
+
+
+def write_segment(client: StateClient, docs: DataFrame, terms: DataFrame, files: int | None = None) -> Segment:
+    """A new segment of what others had. ``terms``: postings, sorted here by field and term, so that a reader takes the row groups of its terms only."""
     name = f"seg-{uuid.uuid4().hex}"
     (docs.coalesce(files) if files else docs).write.parquet(f"{client.root}/{name}/docs")
-    terms = client.spark.createDataFrame([], POSTINGS) if terms is None else terms
     keys = ("field", "term", "_seq")
     (terms.coalesce(files).sortWithinPartitions(*keys) if files else terms.repartitionByRange(*keys).sortWithinPartitions(*keys)).write.parquet(f"{client.root}/{name}/terms")
     back = client.spark.read.schema(docs.schema).parquet(f"{client.root}/{name}/docs")

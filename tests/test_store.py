@@ -284,3 +284,62 @@ def test_answers_of_a_model_server(spark, tmp_path):
             next(i.search_stream({}))
     finally:
         server.shutdown()
+
+
+def _shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_a_flush_shuffles_texts_once_and_no_postings(spark, tmp_path, monkeypatch):
+    """Texts are moved once, for their order; what is counted of them stays where it was read."""
+    monkeypatch.setattr("docquarry.sources.readers.SPREAD_LEAST", 1 << 40)  # tables of few row groups are spread over the cores besides
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
+    docs = spark.createDataFrame([(str(k), " ".join(r.choices(words, k=250)), -k) for k in range(1500)], "_id string, title string, _order long")
+    i = index(spark, tmp_path, {"title": LEX})
+    i.add_documents(docs)
+    before = _shuffled(spark)
+    assert i.flush() == 1500
+    assert _shuffled(spark) - before < 1.5 * sum(f.size for f in i.manifest.files)
+    assert [h["_id"] for h in i.search({"size": 3})["hits"]] == ["1499", "1498", "1497"]
+
+
+def test_postings_are_counted_in_pieces(spark, tmp_path, monkeypatch):
+    """Files are sorted by term; frequencies and lengths are those of the texts, whatever is counted at once."""
+    monkeypatch.setattr(store, "AT_ONCE", 7)
+    texts = {"1": "a b a", "2": None, "3": "", "4": "b " * 20, "5": "?", "6": "c a", "7": "a"}
+    i = index(spark, tmp_path)
+    i.add_documents(spark.createDataFrame([(k, t, "x y" if k in "23" else None, int(k)) for k, t in texts.items()], "_id string, title string, body string, _order long").coalesce(1))
+    i.flush()
+    numbers = {x["_seq"]: x["_id"] for x in i.docs().collect()}
+    rows = [x for x in i.corpus().postings.rows.collect()]
+    want = {("title", w, k, t.split().count(w), len(t.split())) for k, t in texts.items() if t and t != "?" for w in set(t.split())} | {("body", w, k, 1, 2) for w in "xy" for k in "23"}
+    assert sorted((x["field"], x["term"], numbers[x["_seq"]], x["tf"], x["n"]) for x in rows if x["term"]) == sorted(want)
+    assert sorted((x["field"], numbers[x["_seq"]], x["n"]) for x in rows if not x["term"]) == [("body", "2", 2), ("body", "3", 2), ("title", "1", 3), ("title", "4", 20), ("title", "6", 2), ("title", "7", 1)]
+    assert i.manifest.totals == {"title": [4, 26], "body": [2, 4]}
+    for f in i.manifest.more:
+        terms = [x["term"] for x in spark.read.parquet(f"file://{tmp_path}/{f.name}").collect()]
+        assert terms == sorted(terms)
+
+
+def test_totals_after_deletions_of_earlier_segments(spark, tmp_path):
+    """Segments that hold lengths in columns of their documents, as earlier versions wrote them, go on counting."""
+    i = index(spark, tmp_path, {"title": LEX}, config={"indexer": {"merge_policy": "none"}})
+    i.add([{"_id": k, "title": "w " * k} for k in range(1, 6)])
+    i.flush()
+    n = store.lengths(i.corpus().postings.rows).select("_seq", F.col("n").alias("title__len"))
+    docs = i.docs().join(n, "_seq", "left")
+    docs.write.parquet(f"file://{tmp_path}/seg-old/docs")
+    i.corpus().postings.rows.where("term <> ''").write.parquet(f"file://{tmp_path}/seg-old/terms")
+    m = i.manifest
+    m.seqnum, m.segments = m.seqnum + 1, [store.Segment("seg-old", 5, 1, docs.schema.json())]
+    i.client.publish(store.listed(i.client, m, None))
+    i = index(spark, tmp_path, {"title": LEX}, config={"indexer": {"merge_policy": "none"}})
+    i.add([{"_id": 6, "title": "w w"}, {"_id": 2, "title": "v"}])
+    i.flush()
+    assert i.manifest.totals == {"title": [6, 16]}
+    i.delete(ids=["2", "5", "6"])
+    i.flush()
+    assert i.manifest.totals == {"title": [3, 8]} and i.manifest.docs == 3
+    assert [h["_id"] for h in i.search({"query": {"match": {"title": "w"}}})["hits"]] == ["4", "3", "1"]
